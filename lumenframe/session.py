@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only when ``df`` has at most ``limit`` rows; beyond that leave the join to Spark."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the workers once, so that tasks find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "lumenframe_src.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path("lumenframe") / p.relative_to(root)))
+    sc.addPyFile(str(target))
+    sc._lumenframe_shipped = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality  # noqa: F401
+from . import quality, relations, spatial, spectra  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "mutual_knn_j06"

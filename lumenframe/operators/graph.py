@@ -122,9 +122,9 @@ def built_nodes(records: DataFrame) -> DataFrame:
     """(id, ntype): acquisitions, codes, endmembers and fitted fields named by the records; each once."""
     r = records.where("acq_id IS NOT NULL")
     code = lambda c, t: r.select(F.trim(c).alias("id"), F.lit(t).alias("ntype"))
-    em = r.select(F.concat("acq_id", F.lit(":em"), F.explode(F.sequence(F.lit(0), F.size("endmembers") - 1)).cast("string")).alias("id"), F.lit("endmember").alias("ntype")) if "endmembers" in r.columns else None
     out = code("acq_id", "acquisition").unionByName(code("specimen", "specimen")).unionByName(code("material", "material")).unionByName(code("config", "config"))
-    out = out.unionByName(r.where("size(endmembers) > 0").select(F.concat("acq_id", F.lit(":em"), F.explode(F.sequence(F.lit(0), F.size("endmembers") - 1)).cast("string")).alias("id"), F.lit("endmember").alias("ntype"))) if em is not None else out
+    ems = r.where("size(endmembers) > 0").select("acq_id", F.posexplode("endmembers").alias("c", "_")).select(F.concat("acq_id", F.lit(":em"), F.col("c").cast("string")).alias("id"), F.lit("endmember").alias("ntype"))
+    out = out.unionByName(ems)
     out = out.unionByName(r.where("splat IS NOT NULL").select(F.concat("acq_id", F.lit(":splat")).alias("id"), F.lit("splatmodel").alias("ntype")))
     return out.where("id <> ''").groupBy("id").agg(F.min("ntype").alias("ntype"))
 

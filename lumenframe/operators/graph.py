@@ -74,13 +74,14 @@ def purity(members: DataFrame, labels: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id connected with each node, by minimum labels with pointer jumping.
 
-    Each round takes the smallest label among a node and its neighbours, then the label's own label;
+    Each round offers a neighbour's smaller label to the node and to the node that its label names, then takes the label's own label;
     the lineage is cut in the shared checkpoint folder each round. Nodes without edges stand alone.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     lab = cut(nodes.select("id").distinct().select("id", F.col("id").alias("c")))
     for _ in range(max_rounds):
-        low = both.join(lab.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        ends = both.join(lab.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").join(lab.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").where("cb < ca")
+        low = ends.select(F.explode(F.array("a", "ca")).alias("a"), "cb").groupBy("a").agg(F.min("cb").alias("m"))
         step = lab.join(low, F.col("id") == F.col("a"), "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = step.select(F.col("id").alias("n"), F.col("n").alias("nn"))
         new = cut(step.join(jump, "n", "left").select("id", "c", F.least("n", F.coalesce("nn", "n")).alias("n")))

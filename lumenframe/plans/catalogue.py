@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, models, quality, relations, spatial, spectra, texts  # noqa: F401
+from . import corpus, ingest, models, quality, relations, spatial, spectra, texts  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "mutual_knn_j06"

@@ -169,13 +169,19 @@ def purity_by_kind(spark, d):
     return G.purity(acq.select("id", F.col("kind").alias("community")), acq.select("id", F.col("carbon_class").alias("label"))).select(F.round("purity", 6).alias("purity"), "labelled")
 
 
-@query("components_g13", KG.replace("WITH n", "WITH RECURSIVE n") + ", s AS MATERIALIZED (SELECT DISTINCT a, b FROM q WHERE etype IN ('SIMILAR_TO', 'SHARES_ENDMEMBER')), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b), m AS (SELECT a, min(b) b FROM r GROUP BY a) SELECT id, least(id, coalesce(b, id)) component FROM n LEFT JOIN m ON n.id = m.a")
+COMPONENTS = """WITH RECURSIVE n AS (SELECT DISTINCT trim(id) id FROM kg_nodes WHERE trim(id) <> ''),
+l AS (SELECT trim(source) a, trim(target) b FROM kg_edges WHERE upper(trim(etype)) IN ('SIMILAR_TO', 'SHARES_ENDMEMBER')),
+k AS (SELECT DISTINCT a, b FROM l WHERE a <> b AND a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)),
+s AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b), m AS (SELECT a, min(b) b FROM r GROUP BY a)"""
+
+
+@query("components_g13", COMPONENTS + " SELECT id, least(id, coalesce(b, id)) component FROM n LEFT JOIN m ON n.id = m.a")
 def components(spark, d):
     n, e = kg(spark, d)
     return G.components(n, e.where(F.col("etype").isin("SIMILAR_TO", "SHARES_ENDMEMBER")))
 
 
-@query("component_sizes_t13", KG.replace("WITH n", "WITH RECURSIVE n") + ", s AS MATERIALIZED (SELECT DISTINCT a, b FROM q WHERE etype IN ('SIMILAR_TO', 'SHARES_ENDMEMBER')), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b), m AS (SELECT a, min(b) b FROM r GROUP BY a), c AS (SELECT id, least(id, coalesce(b, id)) k FROM n LEFT JOIN m ON n.id = m.a), z AS (SELECT k, count(*) size FROM c GROUP BY k) SELECT size::BIGINT size, count(*)::BIGINT components FROM z GROUP BY size")
+@query("component_sizes_t13", COMPONENTS + ", z AS (SELECT least(id, coalesce(b, id)) k, count(*) size FROM n LEFT JOIN m ON n.id = m.a GROUP BY 1) SELECT size::BIGINT size, count(*)::BIGINT components FROM z GROUP BY size")
 def component_sizes(spark, d):
     c = components(spark, d).groupBy("component").agg(F.count("*").alias("size"))
     return c.groupBy("size").agg(F.count("*").alias("components")).orderBy(F.desc("size"))

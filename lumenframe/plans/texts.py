@@ -46,9 +46,9 @@ def path_codes(spark, d):
     return x.groupBy("acq_id", "session", "ext", "what").agg(F.count("*").alias("n"))
 
 
-@query("number_format_f09", "SELECT acq_id, coalesce(format('{:.3f}', feat_disorder_median), '--') shown, count(*)::BIGINT n FROM manifest GROUP BY ALL")
+@query("number_format_f09", "SELECT acq_id, coalesce(format('{:.6f}', feat_disorder_median), '--') shown, count(*)::BIGINT n FROM manifest GROUP BY ALL")
 def number_format(spark, d):
-    return table(spark, d, "manifest").groupBy("acq_id", X.fixed(F.col("feat_disorder_median"), 3).alias("shown")).agg(F.count("*").alias("n"))
+    return table(spark, d, "manifest").groupBy("acq_id", X.fixed(F.col("feat_disorder_median"), 6).alias("shown")).agg(F.count("*").alias("n"))
 
 
 @query("figure_references_f11", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '`([A-Za-z_.-]+)`', 1))), ' ') names FROM documents WHERE regexp_matches(text, '`[A-Za-z_.-]+`')")

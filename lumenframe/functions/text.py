@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..operators.ranking import ranked
 
 MONTHS = "JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC"
 LOOSE_DATE = rf"(?i)\b(?:\d{{1,2}}\s+(?:{MONTHS})[A-Z]*|(?:{MONTHS})[A-Z]*\s+\d{{1,2}})(?:\s*,?\s*\d{{4}})?\b"
@@ -27,12 +27,8 @@ def identity_codes(tokens: DataFrame, kind: str, prefix: str, width: int) -> Dat
     """
     t = tokens.select(F.trim("token").alias("token")).where("token <> ''").distinct()
     order = [F.expr("try_cast(token as decimal(38,0))").asc_nulls_last(), F.col("token").asc()]
-    # a global rank without a single task: range partitions in order, each ranked alone, after the counts of those before
-    part = cut(t.repartitionByRange(*order).withColumn("p", F.spark_partition_id()))
-    before = part.groupBy("p").agg(F.count("*").alias("n"))  # one row for each partition
-    before = before.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("b"))
-    place = (F.row_number().over(Window.partitionBy("p").orderBy(*order)) + F.col("b")).cast("string")
-    return part.join(F.broadcast(before), "p").select(F.lit(kind).alias("kind"), "token", F.concat(F.lit(prefix), F.lpad(place, width, "0")).alias("code"))
+    place = F.lpad(F.col("place").cast("string"), width, "0")
+    return ranked(t, [], order).select(F.lit(kind).alias("kind"), "token", F.concat(F.lit(prefix), place).alias("code"))
 
 
 def scrub(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranking import ranked
 
 
 def clean_nodes(nodes: DataFrame) -> DataFrame:
@@ -143,5 +144,5 @@ def ordered_members(members: DataFrame) -> DataFrame:
 
     Unknown communities come last, then unknown disorder within a community.
     """
-    w = Window.partitionBy("community").orderBy(F.asc_nulls_last("disorder"), "id")
-    return members.withColumn("place", F.row_number().over(w)).withColumn("boundary", F.col("place") == 1)
+    x = ranked(members, ["community"], [F.col("disorder").asc_nulls_last(), F.col("id").asc()])
+    return x.select(*members.columns, F.col("place").cast("int").alias("place"), (F.col("place") == 1).alias("boundary"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import learning as L
+from ..operators.ranking import ranked
 from ..session import table
 from .registry import query
 
@@ -126,10 +127,10 @@ def instrument_join(spark, d):
 
 @query("row_ids_w04", "WITH x AS (SELECT DISTINCT source_rel FROM manifest WHERE source_rel IS NOT NULL) SELECT source_rel, printf('acq-%07d', row_number() OVER (PARTITION BY split_part(source_rel, '/', 1) ORDER BY source_rel)) code FROM x")
 def row_ids(spark, d):
-    """Numbered ids in sorted file order within each session, so no one task sorts all files."""
+    """Numbered ids in sorted file order within each session."""
     x = man(spark, d).where("source_rel IS NOT NULL").select("source_rel").distinct()
-    w = Window.partitionBy(F.split_part("source_rel", F.lit("/"), F.lit(1))).orderBy("source_rel")
-    return x.select("source_rel", F.format_string("acq-%07d", F.row_number().over(w)).alias("code"))
+    x = ranked(x.withColumn("folder", F.split_part("source_rel", F.lit("/"), F.lit(1))), ["folder"], [F.col("source_rel").asc()])
+    return x.select("source_rel", F.format_string("acq-%07d", "place").alias("code"))
 
 
 @query("contiguity_w11", "WITH x AS (SELECT file_id, line_no, row_number() OVER (PARTITION BY file_id ORDER BY line_no) r FROM (SELECT DISTINCT file_id, line_no FROM raw_lines WHERE file_id IS NOT NULL AND line_no IS NOT NULL)) SELECT file_id, bool_and(line_no = r) contiguous, count(*)::BIGINT n FROM x GROUP BY file_id")

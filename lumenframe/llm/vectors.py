@@ -240,7 +240,7 @@ def similar_vectors(units: DataFrame, k: int = 5, list_rows: int = 256, store_ra
     def search_list(pdf: pd.DataFrame) -> pd.DataFrame:
         s, q = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
         if not len(s) or not len(q):
-            return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
+            return pd.DataFrame({"id": [], "neighbour": []}, dtype=object).assign(cosine=0.0)
         sid, qid = s["id"].to_numpy(), q["id"].to_numpy()
         order = np.argsort(sid, kind="stable")
         sid = sid[order]

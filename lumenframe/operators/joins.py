@@ -47,9 +47,9 @@ def top_neighbours(vectors: DataFrame, k: int, floor: float = -1.0, block_rows:
             out["i"] += qi[a].tolist()
             out["j"] += si[b].tolist()
             out["sim"] += sim[a, b].tolist()
-        found = pd.DataFrame(out)
-        found.insert(0, "basis", pdf["basis"].iloc[0])
-        return found
+        n = len(out["i"])
+        text = pd.DataFrame({"basis": [pdf["basis"].iloc[0]] * n, "i": out["i"], "j": out["j"]}, dtype=object)  # also when empty
+        return text.assign(sim=np.array(out["sim"], float))
 
     near = both.groupBy("basis", "qb", "sb").applyInPandas(match, "basis string, i string, j string, sim double")
     best = Window.partitionBy("basis", "i").orderBy(F.desc("sim"), "j")

@@ -25,7 +25,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """The lines table of the text files below ``root``; a final line break opens no line."""
-    x = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    x = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return x.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("n", "raw")).select("path", (F.col("n") + 1).alias("line_no"), "raw")
 
 

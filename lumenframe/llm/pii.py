@@ -178,7 +178,8 @@ _CALLED = re.compile(
 _RUN = re.compile(rf"(?<![\w@.-])\p{{Lu}}(?:\.|[\w'’-]+)(?:(?:,?[ ]|(?<=\.))(?:(?i:{_PART})[ ])?\p{{Lu}}(?:\.|[\w'’-]+))+")
 _PREFIXED = re.compile(rf"(?i:{_PART})[ ]$")
 _BARRED = frozenset(NO_NAME)
-_AFTER_STREET = re.compile(rf"[ ](?:{STREET_WORDS})\b")
+#: Only words that do not open a sentence as well ("... Lind Row 7 holds").
+_AFTER_STREET = re.compile(r"[ ](?:Street|Road|Lane|Avenue|Boulevard|Terrace|Square|Crescent)\b")
 _MONSIEUR = re.compile(rf"M\.[ ]?(?=(?:{_INI}|{_CAP}|{_UP}))")
 
 

@@ -31,6 +31,7 @@ CASES = {
     "Dr. Emil T. Lindmann and Petra-Viola van Holt-Marsh told me": {("name", "Emil T. Lindmann"), ("name", "Petra-Viola van Holt-Marsh")},
     "cc: Hirsquist, Nadja; ROSALBA HALESCU; F. Kravini": {("name", "Hirsquist, Nadja"), ("name", "ROSALBA HALESCU"), ("name", "F. Kravini")},
     "Thanks, Oskar! cc: Bastian P. In Sorrel Export 8.2 the index skips.": set(),
+    "# author: Ruben T. Fennard Row 88 holds 1.5. The Adele Kelby Street is long.": {("name", "Ruben T. Fennard")},
     "# author: Quendolin Harrowgate": {("name", "Quendolin Harrowgate")},
 }
 

@@ -60,9 +60,9 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     ends = e.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
     inside = ends.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.sum("w").alias("l"))
     deg = ends.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "w"), F.struct(F.col("cb").alias("c"), "w"))).alias("x")).groupBy("x.c").agg(F.sum("x.w").alias("d"))
-    total = ends.agg(F.sum("w").alias("m"))
-    x = deg.join(inside, "c", "left").join(F.broadcast(total))
-    return x.agg(F.sum(F.coalesce("l", F.lit(0.0)) / F.col("m") - (F.col("d") / (2 * F.col("m"))) ** 2).alias("modularity"))
+    # the degrees add up to 2m, so one pass over the communities gives L/m and (D/2m)^2 in sums
+    x = deg.join(inside, "c", "left").agg(F.sum("d").alias("m2"), F.sum("l").alias("l"), F.sum(F.col("d") ** 2).alias("d2"))
+    return x.select((2 * F.coalesce("l", F.lit(0.0)) / F.col("m2") - F.col("d2") / F.col("m2") ** 2).alias("modularity"))
 
 
 def purity(members: DataFrame, labels: DataFrame) -> DataFrame:

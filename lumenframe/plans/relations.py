@@ -146,7 +146,8 @@ def community_purity(spark, d):
     acq = n.where("ntype = 'acquisition'")
     links = G.induced(n, e, "acquisition", CONTENT).groupBy("a", "b").agg(F.max("weight").alias("weight"))
     c = G.communities(acq, links)
-    return G.purity(c, acq.select("id", F.col("carbon_class").alias("label"))).crossJoin(G.modularity(links, c))
+    q = G.modularity(links, c).first()[0]  # one number
+    return G.purity(c, acq.select("id", F.col("carbon_class").alias("label"))).withColumn("modularity", F.lit(q))
 
 
 @query("communities_g10")

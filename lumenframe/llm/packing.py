@@ -146,8 +146,8 @@ def pack_posts(docs: DataFrame, limits: DataFrame, vocabulary: str | None = None
     if not plans:
         return spark.createDataFrame([], schema)
     coded = cut(encode_corpus(docs, vocabulary).where("size(ids) > 0").withColumn("uid", F.monotonically_increasing_id()))
-    caps = F.broadcast(spark.createDataFrame(plans, "plan_name string, capacity int"))
-    parts = coded.select("uid", F.size("ids").alias("n")).join(caps)
+    every = F.array(*[F.struct(F.lit(name).alias("plan_name"), F.lit(cap).alias("capacity")) for name, cap in plans])
+    parts = coded.select("uid", F.size("ids").alias("n"), F.explode(every).alias("p")).select("uid", "n", "p.plan_name", "p.capacity")
     parts = parts.select("uid", "plan_name", "capacity", "n", F.explode(F.sequence(F.lit(0), F.expr("int((n - 1) div capacity)"))).alias("part"))
     parts = parts.select("uid", "plan_name", "capacity", "part", F.expr("int(part * capacity)").alias("start"), F.expr("int(least(capacity, n - part * capacity))").alias("n_tokens"))
     full = parts.where("n_tokens = capacity").withColumn("container_id", F.format_string("%s-u%d-%d", "plan_name", "uid", "part"))

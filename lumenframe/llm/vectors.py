@@ -26,6 +26,7 @@ from ..session import cut
 
 MAX_LISTS = 8192
 SAMPLE_ROWS = 60_000
+MAX_SPACES = 1000
 
 
 # ---------------------------------------------------------------- clustering and centroid graph
@@ -202,7 +203,9 @@ def similar_vectors(units: DataFrame, k: int = 5, list_rows: int = 256, store_ra
     reps = firsts.where("n = 1").select("space", "key", "id", "vec")
 
     indexes = {}
-    sizes = {r["space"]: r["count"] for r in reps.groupBy("space").count().orderBy(F.desc("count")).limit(1000).collect()}
+    sizes = {r["space"]: r["count"] for r in reps.groupBy("space").count().limit(MAX_SPACES + 1).collect()}
+    if len(sizes) > MAX_SPACES:
+        raise ValueError(f"more than {MAX_SPACES} spaces: each needs an index of its own")
     for space, n in sizes.items():
         part = min(1.0, SAMPLE_ROWS / n)
         chosen = reps.where(F.col("space") == space).where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(np.ceil(part * 1_000_000))))

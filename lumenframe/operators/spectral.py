@@ -12,15 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import broadcast_if_small, cut
 
 
 def points(images: DataFrame) -> DataFrame:
     """Each stored point once, its axis rising, non-finite readings as null; rows whose axis doesn't fit are left out."""
     ok = images.where("acq_id IS NOT NULL AND pt IS NOT NULL AND size(intensities) > 0 AND size(intensities) = size(wavenumber)")
-    one = ok.dropDuplicates(["acq_id", "pt"])
     falls = F.element_at("wavenumber", 1) > F.element_at("wavenumber", -1)
     y = F.transform(F.when(falls, F.reverse("intensities")).otherwise(F.col("intensities")), finite)
-    return one.select("acq_id", "pt", "i", "j", F.when(falls, F.reverse("wavenumber")).otherwise(F.col("wavenumber")).alias("w"), y.alias("y"))
+    # turned before repeats are dropped, so that a caller who needs no axis shuffles none
+    return ok.select("acq_id", "pt", "i", "j", F.when(falls, F.reverse("wavenumber")).otherwise(F.col("wavenumber")).alias("w"), y.alias("y")).dropDuplicates(["acq_id", "pt"])
 
 
 def finite(x: Column) -> Column:
@@ -94,7 +95,8 @@ def despike(pts: DataFrame, threshold: float = C.DESPIKE) -> DataFrame:
     Sigma is the acquisition's median absolute second difference / 0.6745 (1 if zero); the ends stay.
     """
     spread = pts.select("acq_id", F.explode(second_differences()).alias("d")).where("d IS NOT NULL").groupBy("acq_id").agg((F.median(F.abs("d")) / 0.6745).alias("sd"))
-    x = pts.join(spread.select("acq_id", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd")), "acq_id", "left")
+    spread = cut(spread.select("acq_id", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd")))
+    x = pts.join(broadcast_if_small(spread, 200_000), "acq_id", "left")  # one number an acquisition; a shuffle join beyond that
     y = F.col("y")
 
     def fix(v: Column, k: Column) -> Column:

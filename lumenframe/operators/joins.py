@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def one_row_per_id(df: DataFrame, id_col: str, *columns: Column) -> DataFrame:
     """Repeated rows of an id folded into one: the smallest value of each column, nulls last."""
@@ -63,6 +65,53 @@ def mutual_knn(vectors: DataFrame, k: int = 5, floor: float = 0.65) -> DataFrame
     return near.where("i < j").join(back, ["basis", "i", "j"], "left_semi").select("basis", "i", "j", "sim")
 
 
+def matched_groups(vectors: DataFrame, floor: float, block_rows: int = 1024) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of unlike groups of (g, v) of which two vectors have a cosine of at least ``floor``; the best one counts.
+
+    Groups meet block by block and each task folds its cosines to the best of a pair of groups. A group lies
+    whole in one block, so its pairs come from one task; only a group of more than ``block_rows`` vectors is cut, and then
+    the parts are folded once more. Null, zero and non-finite vectors take no part; vectors of unlike length don't meet.
+    """
+    x = vectors.where("g IS NOT NULL AND size(v) > 0").select("g", F.col("v").cast("array<double>").alias("v")).distinct()
+    x = x.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))).where("n >= 1e-12 AND n < double('Infinity')").drop("n")
+    x = cut(x)
+    held = x.groupBy("g").agg(F.count("*").alias("c"))
+    total, most = held.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    nb = max(1, -(-total // block_rows))
+    part = F.lit(0) if most <= block_rows else F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / block_rows))
+    x = x.join(held, "g").withColumn("blk", F.pmod(F.xxhash64("g", part.cast("long")), F.lit(nb)).cast("int"))
+    x = x.select("g", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("o"))
+    x = x.select("g", "v", "blk", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"))
+
+    def units(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vectors as unit rows in order of their group, where each group starts, and the groups."""
+        pdf = pdf.sort_values("g", kind="stable")
+        names, at = np.unique(pdf["g"].to_numpy(dtype=object), return_index=True)
+        m = np.stack([np.asarray(v, float) for v in pdf["v"]])
+        return m / np.linalg.norm(m, axis=1, keepdims=True), at, names
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        out = [pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object), "sim": np.zeros(0)})]
+        for _, same in pdf.groupby(pdf["v"].map(len)):
+            left, right = same[same["blk"] == p], same[same["blk"] == q]
+            if not len(left) or not len(right):
+                continue
+            (lu, la, ln), (ru, ra, rn) = units(left), units(right)
+            best = np.maximum.reduceat(np.maximum.reduceat(np.round(lu @ ru.T, 12), la, axis=0), ra, axis=1)
+            i, j = np.nonzero(best >= floor)
+            a, b = ln[i], rn[j]
+            keep = (a < b) if p == q else (a != b)
+            a, b, sim = a[keep], b[keep], best[i, j][keep]
+            turn = (a > b).astype(bool)
+            out.append(pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "sim": sim}))
+        met = pd.concat(out, ignore_index=True)
+        return met if len(out) <= 2 else met.groupby(["a", "b"], as_index=False)["sim"].max()
+
+    met = x.groupBy("p", "q").applyInPandas(match, "a string, b string, sim double")
+    return met if most <= block_rows else met.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
 def band_join(rows: DataFrame, key: str, value: str, id_col: str, delta: float) -> DataFrame:
     """(key, value_i, value_j, id_i, id_j, n_i, n_j): classes of equal value under one key whose values differ by at most delta.
 

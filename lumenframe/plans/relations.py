@@ -91,14 +91,11 @@ def disorder_edges(spark, d):
 
 @query("shared_component_j08")
 def shared_component(spark, d):
-    """(a, b, weight): specimens of which endmembers match, by the five nearest of each endmember; the best match counts."""
-    r = table(spark, d, "records").where("acq_id IS NOT NULL AND size(endmembers) > 0").dropDuplicates(["acq_id"])
-    em = r.select("acq_id", F.trim("specimen").alias("sp"), F.posexplode("endmembers").alias("c", "v")).withColumn("id", F.concat_ws(":em", "acq_id", F.col("c").cast("string")))
-    ok = em.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
-    near = J.top_neighbours(ok.select(F.lit("em").alias("basis"), "id", "v"), 5, C.ENDMEMBER_MATCH)
-    sp = ok.where("sp <> ''").select("id", "sp")
-    x = near.join(sp.select(F.col("id").alias("i"), F.col("sp").alias("s")), "i").join(sp.select(F.col("id").alias("j"), F.col("sp").alias("t")), "j").where("s <> t")
-    return x.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.bround(F.max("sim"), 4).alias("weight"))
+    """(a, b, weight): all pairs of unlike specimens of which endmembers match; the best match of a pair counts."""
+    r = table(spark, d, "records").where("acq_id IS NOT NULL AND size(endmembers) > 0")
+    em = r.select(F.trim("specimen").alias("g"), F.explode("endmembers").alias("v")).where("g <> ''")
+    x = J.matched_groups(em.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))), C.ENDMEMBER_MATCH)
+    return x.select("a", "b", F.bround("sim", 4).alias("weight"))
 
 
 @query("built_nodes_g01", "WITH r AS (SELECT * FROM records WHERE acq_id IS NOT NULL), u AS (SELECT trim(acq_id) id, 'acquisition' t FROM r UNION ALL SELECT trim(specimen), 'specimen' FROM r UNION ALL SELECT trim(material), 'material' FROM r UNION ALL SELECT trim(config), 'config' FROM r UNION ALL SELECT acq_id || ':em' || unnest(generate_series(0, len(endmembers) - 1)), 'endmember' FROM r WHERE len(endmembers) > 0 UNION ALL SELECT acq_id || ':splat', 'splatmodel' FROM r WHERE splat IS NOT NULL) SELECT id, min(t) ntype FROM u WHERE id <> '' GROUP BY id")

@@ -31,6 +31,34 @@ def test_neighbours_edge_cases(spark):
     assert J.top_neighbours(vectors(spark, [[1.0, 2.0], [2.0, 4.0], [1.0, 2.0, 3.0]]), 3).count() == 2
 
 
+@pytest.mark.parametrize("block_rows", [1024, 7])
+def test_matched_groups_keep_every_pair(spark, block_rows):
+    x = np.abs(np.random.default_rng(2).normal(size=(60, 4)))
+    g = [f"s{i % 12:02d}" if i < 40 else "s00" for i in range(60)]  # one group with many alike vectors of its own
+    x[40:] = x[0] + 0.01 * x[40:]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c, want = u @ u.T, {}
+    for i in range(60):
+        for j in range(60):
+            if g[i] < g[j] and c[i, j] >= 0.9:
+                want[g[i], g[j]] = max(want.get((g[i], g[j]), 0), c[i, j])
+    rows = [(g[i], [float(v) for v in x[i]]) for i in range(60)] + [("s01", [0.0] * 4), ("s02", [1.0, 2.0]), ("s03", [2.0, 4.0]), (None, [1.0, 2.0])]
+    want["s02", "s03"] = 1.0
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    got = [(r.a, r.b, r.sim) for r in J.matched_groups(df, 0.9, block_rows).collect()]
+    assert len(got) == len(want) and {(a, b): pytest.approx(s) for a, b, s in got} == want
+    assert J.matched_groups(df.limit(0), 0.9).count() == 0
+
+
+def test_shared_component_keeps_links_beyond_five_own_copies(spark, tmp_path):
+    from lumenframe.plans.relations import shared_component
+
+    v = [[1.0, 0.001 * i, 0.0] for i in range(8)]
+    rows = [("a", " S1", v), ("b", "S2", [[1.0, 0.02, 0.0]]), ("c", "S3", [[0.0, 0.0, 1.0]]), ("d", None, [[1.0, 0.0, 0.0]])]
+    spark.createDataFrame(rows, "acq_id string, specimen string, endmembers array<array<double>>").write.parquet(f"{tmp_path}/records.parquet")
+    assert [(r.a, r.b) for r in shared_component(spark, str(tmp_path)).collect()] == [("S1", "S2")]
+
+
 def test_band_join_keeps_every_link_between_values(spark):
     rng = np.random.default_rng(1)
     rows = [(f"k{i % 2}", float(np.round(rng.uniform(0, 3), 2)), f"a{i:03d}") for i in range(200)] + [("k0", float("nan"), "x"), (None, 1.0, "y"), ("k0", None, "z")]

@@ -167,11 +167,8 @@ def interleave_noise(spark, d):
 
 @query("savgol_p11")
 def savgol(spark, d):
-    """Smoothed readings: the 7-point cubic in array form (weights of the inner window; the ends keep their readings)."""
-    m = S.savgol_matrix(15)[7][4:11].tolist()
-    y = F.col("y")
-    s = F.transform(y, lambda v, k: F.when((k >= 3) & (k < F.size(y) - 3), sum(F.get(y, k + (i - 3)) * F.lit(c) for i, c in enumerate(m))).otherwise(v))
-    return _rounded(pts(spark, d).withColumn("y", s), 4)
+    """Smoothed readings: the 7-point cubic in array form; the ends follow the polynomial of the first and last full window."""
+    return _rounded(S.savgol(pts(spark, d)), 4)
 
 
 def _protocol_query(name: str):

@@ -148,3 +148,18 @@ def test_binning_drops_the_tail(spark):
     assert len(x.y) == 25 and x.y[0] == 1.5 and x.w[1] == pytest.approx(W[4:8].mean())
     assert spectral.crop(spectral.points(images(spark, [np.arange(101.0)])), 1000, 1001).count() == 0
     assert spectral.points(images(spark, [np.arange(101.0)])).select(F.size(spectral.second_differences())).first()[0] == 99
+
+
+def test_savgol_query_equals_the_matrix_to_the_ends(spark, tmp_path):
+    from lumenframe.plans.spectra import savgol
+
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 9, 40]
+    ys = [rng.normal(size=n) * 100 for n in sizes]
+    rows = [(f"a{n}", 0, 0, 0, [1000.0 + k for k in range(n)], [float(v) for v in y]) for n, y in zip(sizes, ys)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/spectral_images.parquet")
+    got = {}
+    for r in savgol(spark, str(tmp_path)).collect():
+        got.setdefault(r.acq_id, {})[r.k] = r.v
+    for n, y in zip(sizes, ys):
+        assert [got[f"a{n}"][k] for k in range(n)] == pytest.approx((spectral.savgol_matrix(n) @ y).tolist(), abs=1e-3)

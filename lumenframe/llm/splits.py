@@ -1,11 +1,13 @@
 """Splits that keep related records together, by min-cost flow over bundles of components.
 
 Records tied through shared keys form components (hash-to-min). Components of the same size and the
-same label profile are interchangeable, so they are bundled; the number of bundles is bounded by
-sizes x labels and not by the number of records (the sizes add up to at most the number of records,
-so there are at most sqrt(2 n) different ones). A small transport network (bundles to splits, with a
-deviation cost for every label's quota) is solved on the driver over that table, rounded to whole
-components, and the members of each bundle are dealt out by the hash order of their group id.
+same label profile (how many records of each label) are interchangeable, so they are bundled. Bundles of one
+label number at most sizes x labels (the sizes add up to at most the number of records, so there are at
+most sqrt(2 n) different ones); those of several labels at most their components. On the driver the
+components of several labels are dealt first, largest first, by what each split still lacks of records and of each
+label; then a small transport network (bundles of one label to splits, with a deviation cost for every
+label's remaining quota) is solved and rounded to whole components. The members of each bundle are dealt
+out by the hash order of their group id.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .groups import hash_to_min
 
 
@@ -99,62 +102,106 @@ def _min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
     return [cap[2 * i + 1] for i in range(len(arcs))]
 
 
-def allocate(bundles: list[tuple[int, str, int]], portions: list[float]) -> list[list[int]]:
-    """How many components of each bundle (size, label, count) go to each split.
+Profile = str | tuple[tuple[str, int], ...]
 
-    Flow runs in records: source to bundle (size x count), bundle to (label, split), and on to the
-    sink through two arcs: free up to the label's quota in the split, then at a cost for each
+
+def _deal_mixed(bundles: list[tuple[int, Profile, int]], share: list[float], room: np.ndarray, lab_room: dict[str, np.ndarray]) -> list[list[int]]:
+    """Whole components of several labels to the splits; ``room`` and ``lab_room`` are lowered by what they take.
+
+    The cost is the squared deviation from every quota of records and of labels, relative to the quota. Each split first takes
+    its share of a bundle in whole components, and the rest (under one for each split) go, largest first, where they cost least.
+    """
+    quota = np.maximum(room, 1e-9)
+    lab_quota = {lab: np.maximum(x, 1e-9) for lab, x in lab_room.items()}
+    part = np.array(share)
+    out = [np.floor(c * part + 1e-9).astype(int) for _, _, c in bundles]
+    for (s, profile, _), n in zip(bundles, out):
+        room -= n * s
+        for lab, v in profile:
+            lab_room[lab] -= n * v
+    for b in sorted(range(len(bundles)), key=lambda b: (-bundles[b][0], bundles[b][1])):
+        s, profile, c = bundles[b]
+        for _ in range(c - int(out[b].sum())):
+            cost = s * (s - 2 * room) / quota
+            for lab, v in profile:
+                cost = cost + 0.25 * v * (v - 2 * lab_room[lab]) / lab_quota[lab]
+            j = int(np.argmin(cost))
+            out[b][j] += 1
+            room[j] -= s
+            for lab, v in profile:
+                lab_room[lab][j] -= v
+    return [x.tolist() for x in out]
+
+
+def allocate(bundles: list[tuple[int, Profile, int]], portions: list[float]) -> list[list[int]]:
+    """How many components of each bundle (size, profile, count) go to each split.
+
+    A profile is one label or the pairs (label, records). Bundles of several labels are dealt by ``_deal_mixed``. For the others flow
+    runs in records: source to bundle (size x count), bundle to (label, split), and on to the
+    sink through two arcs: free up to what is left of the label's quota in the split, then at a cost for each
     record beyond it. Bundle flows are rounded down to whole components, and the rest go, largest
     first, where quota and label quota have most room.
     """
-    total = sum(s * c for s, _, c in bundles)
     weight = sum(portions) or 1.0
     share = [p / weight for p in portions]
-    labels = sorted({lab for _, lab, _ in bundles})
     k = len(portions)
-    of_label = {lab: sum(s * c for s, x, c in bundles if x == lab) for lab in labels}
-    first_lab, first_split = 1 + len(bundles), 1 + len(bundles) + len(labels) * k
+    flat = [(s, ((p, s),) if isinstance(p, str) else tuple(p), c) for s, p, c in bundles]
+    held: dict[str, int] = {}
+    for _, profile, c in flat:
+        for lab, v in profile:
+            held[lab] = held.get(lab, 0) + v * c
+    every = sum(s * c for s, _, c in flat)
+    room = np.array([every * x for x in share], dtype=float)
+    lab_room = {lab: np.array([n * x for x in share], dtype=float) for lab, n in held.items()}
+    mixed = [i for i, (_, profile, _) in enumerate(flat) if len(profile) > 1]
+    plain = [i for i, (_, profile, _) in enumerate(flat) if len(profile) == 1]
+    whole: list[list[int]] = [[] for _ in flat]
+    for i, row in zip(mixed, _deal_mixed([flat[i] for i in mixed], share, room, lab_room)):
+        whole[i] = row
+    pure = [(flat[i][0], flat[i][1][0][0], flat[i][2]) for i in plain]
+    left = lambda x: max(0, int(round(x)))
+    total = sum(s * c for s, _, c in pure)
+    labels = sorted({lab for _, lab, _ in pure})
+    first_lab, first_split = 1 + len(pure), 1 + len(pure) + len(labels) * k
     sink = first_split + k
     arcs = []
-    for b, (s, _, c) in enumerate(bundles):
+    for b, (s, _, c) in enumerate(pure):
         arcs.append((0, 1 + b, s * c, 0.0))
     start = len(arcs)
-    for b, (s, lab, c) in enumerate(bundles):
+    for b, (s, lab, c) in enumerate(pure):
         for j in range(k):
             # a component larger than the split's whole quota is dear there
-            arcs.append((1 + b, first_lab + labels.index(lab) * k + j, s * c, 1.0 + s / total if s > share[j] * total else 0.0))
+            arcs.append((1 + b, first_lab + labels.index(lab) * k + j, s * c, 1.0 + s / every if s > share[j] * every else 0.0))
     for i, lab in enumerate(labels):
         for j in range(k):
-            quota = int(round(of_label[lab] * share[j]))
-            arcs.append((first_lab + i * k + j, first_split + j, quota, 0.0))
+            arcs.append((first_lab + i * k + j, first_split + j, left(lab_room[lab][j]), 0.0))
             arcs.append((first_lab + i * k + j, first_split + j, total, 0.25))
     for j in range(k):
-        arcs.append((first_split + j, sink, int(round(total * share[j])), 0.0))
+        arcs.append((first_split + j, sink, left(room[j]), 0.0))
         arcs.append((first_split + j, sink, total, 2.0))
     flow = _min_cost_flow(sink + 1, arcs, 0, sink, total)
-    out = [[flow[start + b * k + j] // bundles[b][0] for j in range(k)] for b in range(len(bundles))]
-    room = np.array([total * x for x in share], dtype=float)
-    lab_room = {lab: np.array([of_label[lab] * x for x in share]) for lab in labels}
-    for b, (s, lab, _) in enumerate(bundles):
+    out = [[flow[start + b * k + j] // pure[b][0] for j in range(k)] for b in range(len(pure))]
+    for b, (s, lab, _) in enumerate(pure):
         room -= np.array(out[b], float) * s
         lab_room[lab] -= np.array(out[b], float) * s
-    for b in sorted(range(len(bundles)), key=lambda b: (-bundles[b][0], bundles[b][1])):
-        s, lab, c = bundles[b]
+    for b in sorted(range(len(pure)), key=lambda b: (-pure[b][0], pure[b][1])):
+        s, lab, c = pure[b]
         for _ in range(c - sum(out[b])):  # at most one for each split
             cost = [abs(room[j] - s) - abs(room[j]) + 0.25 * (abs(lab_room[lab][j] - s) - abs(lab_room[lab][j])) for j in range(k)]
             j = int(np.argmin(cost))
             out[b][j] += 1
             room[j] -= s
             lab_room[lab][j] -= s
-    return out
+    for i, row in zip(plain, out):
+        whole[i] = row
+    return whole
 
 
 def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame) -> DataFrame:
     """(acq_id, group_id, split_name): every record of ``groups`` with the split of its group.
 
     ``groups`` is (acq_id, group_id), ``labels`` (acq_id, label) with any number of rows for a
-    record (a null label counts as the empty one; the label of a component is its commonest, ties to the
-    smallest), ``plan`` (split_name, portion), a table of fixed size. A component is never divided, so
+    record (a null label counts as the empty one, and of several the smallest counts), ``plan`` (split_name, portion), a table of fixed size. A component is never divided, so
     a component larger than a split's quota moves the portions. An empty plan is an error.
     """
     spark = groups.sparkSession
@@ -163,24 +210,25 @@ def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame) -> Data
         raise ValueError("the split plan holds no split with a positive portion")
     first = labels.groupBy("acq_id").agg(F.min(F.coalesce("label", F.lit(""))).alias("label"))
     counts = groups.join(first, "acq_id", "left").groupBy("group_id", F.coalesce("label", F.lit("")).alias("label")).count()
-    comp = counts.groupBy("group_id").agg(F.sum("count").alias("size"), F.min(F.struct((-F.col("count")).alias("c"), "label")).alias("m")).select("group_id", "size", F.col("m.label").alias("label"))
-    table = comp.groupBy("size", "label").agg(F.count("*").alias("n")).orderBy("size", "label").collect()  # bounded: different sizes x labels
+    comp = counts.groupBy("group_id").agg(F.sum("count").alias("size"), F.array_sort(F.collect_list(F.struct("label", "count"))).alias("p"))
+    comp = comp.select("group_id", "size", F.to_json("p").alias("profile"), "p")
+    table = comp.groupBy("size", "profile").agg(F.count("*").alias("n"), F.first("p").alias("p")).orderBy("size", "profile").collect()  # different sizes x profiles
     if not table:
         return spark.createDataFrame([], "acq_id string, group_id string, split_name string")
-    dealt = allocate([(r["size"], r["label"], r["n"]) for r in table], [r["portion"] for r in parts])
+    dealt = allocate([(r["size"], tuple((x["label"], x["count"]) for x in r["p"]), r["n"]) for r in table], [r["portion"] for r in parts])
     ranges = []
     for r, row in zip(table, dealt):
         at = 0
         for p, n in zip(parts, row):
             if n:
-                ranges.append((r["size"], r["label"], at, at + n, p["split_name"]))
+                ranges.append((r["profile"], at, at + n, p["split_name"]))
                 at += n
-    cuts = spark.createDataFrame(ranges, "size long, label string, lo long, hi long, split_name string")
+    cuts = broadcast_if_small(spark.createDataFrame(ranges, "profile string, lo long, hi long, split_name string"), 200_000)
     # the place in the bundle by hash order, in two steps: a bundle may hold most components
-    comp = comp.withColumn("h", F.xxhash64("group_id", F.lit("split"))).withColumn("bucket", F.shiftrightunsigned("h", 54))
-    sizes = comp.groupBy("size", "label", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("size", "label", "bucket", (F.sum("n").over(Window.partitionBy("size", "label").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("size", "label", "bucket").orderBy("h", "group_id")
-    placed = comp.withColumn("r", F.row_number().over(inside) - 1).join(before, ["size", "label", "bucket"]).withColumn("place", F.col("r") + F.col("before"))
-    named = placed.join(F.broadcast(cuts), ["size", "label"]).where("place >= lo AND place < hi").select("group_id", "split_name")
+    comp = comp.select("group_id", "profile", F.xxhash64("group_id", F.lit("split")).alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 54))
+    sizes = comp.groupBy("profile", "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("profile", "bucket", (F.sum("n").over(Window.partitionBy("profile").orderBy("bucket")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("profile", "bucket").orderBy("h", "group_id")
+    placed = comp.withColumn("r", F.row_number().over(inside) - 1).join(before, ["profile", "bucket"]).withColumn("place", F.col("r") + F.col("before"))
+    named = placed.join(cuts, "profile").where("place >= lo AND place < hi").select("group_id", "split_name")
     return groups.join(named, "group_id").select("acq_id", "group_id", "split_name")

@@ -89,3 +89,21 @@ def test_split_edge_cases(spark):
     with pytest.raises(ValueError):
         S.assign_splits(none, labels, plan.limit(0))
     assert S.allocate([(100, "", 1), (1, "", 10)], [0.5, 0.5]) in ([[1, 0], [0, 10]], [[0, 1], [10, 0]])
+
+
+def test_splits_count_every_label_of_a_component(spark):
+    kinds = [("m", 41, ["x"] * 6 + ["y"] * 4), ("x", 40, ["x"] * 10), ("y", 19, ["y"] * 10)]
+    rows = [(f"{n}{g:02d}-{i}", f"{n}{g:02d}", lab) for n, c, labs in kinds for g in range(c) for i, lab in enumerate(labs)]
+    df = spark.createDataFrame(rows, "acq_id string, group_id string, label string")
+    plan = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "split_name string, portion double")
+    split = {r.acq_id: r.split_name for r in S.assign_splits(df.select("acq_id", "group_id"), df.select("acq_id", "label"), plan).collect()}
+    assert len(split) == len(rows)
+    parts = Counter(split.values())
+    assert parts["a"] == parts["b"]
+    mixed = Counter(split[a] for a, g, _ in rows if g.startswith("m"))
+    assert abs(mixed["a"] - mixed["b"]) <= 10
+    y = Counter(split[a] for a, _, lab in rows if lab == "y")
+    assert abs(y["a"] - y["b"]) <= 6
+    got = S.allocate([(10, (("x", 6), ("y", 4)), 3), (10, (("x", 4), ("y", 6)), 3)], [0.5, 0.5])
+    assert [sum(r) for r in got] == [3, 3] and sum(r[0] for r in got) == 3
+    assert S.allocate([(100, (("x", 60), ("y", 40)), 1), (1, "x", 60), (1, "y", 40)], [0.5, 0.5]) in ([[1, 0], [0, 60], [0, 40]], [[0, 1], [60, 0], [40, 0]])

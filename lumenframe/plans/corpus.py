@@ -40,6 +40,13 @@ def pivot_formats(spark, d):
     return p.join(t, p["kind"].eqNullSafe(t["kind"])).drop(t["kind"]).orderBy(F.desc("total"))
 
 
+@query("format_counts_a08", "WITH x AS (SELECT kind, coalesce(source_format, 'none') source_format, count(*)::BIGINT n FROM manifest GROUP BY ALL) SELECT kind, source_format, n, (sum(n) OVER (PARTITION BY kind))::BIGINT total FROM x")
+def format_counts(spark, d):
+    """The counts of ``pivot_formats_a08`` as rows, for every format that the manifest holds."""
+    x = man(spark, d).groupBy("kind", F.coalesce("source_format", F.lit("none")).alias("source_format")).agg(F.count("*").alias("n"))
+    return x.withColumn("total", F.sum("n").over(Window.partitionBy("kind")))
+
+
 @query("median_features_a02", "SELECT kind, round(median(feat_disorder_median), 6) disorder, round(stddev_pop(feat_disorder_median), 6) sd, round(median(feat_dg_ratio) FILTER (feat_dg_ratio > 0), 6) dg, count(*)::BIGINT n FROM manifest GROUP BY kind")
 def median_features(spark, d):
     return man(spark, d).groupBy("kind").agg(F.round(F.median("feat_disorder_median"), 6).alias("disorder"), F.round(F.stddev_pop("feat_disorder_median"), 6).alias("sd"), F.round(F.median(F.when(F.col("feat_dg_ratio") > 0, F.col("feat_dg_ratio"))), 6).alias("dg"), F.count("*").alias("n"))

@@ -36,3 +36,11 @@ def test_agrees_with_sql(spark, name):
     assert cols == sorted(b.columns)
     text = lambda df: sorted(map(str, (tuple(None if v is None or v != v else (f"{v:.6g}" if isinstance(v, float) else str(v)) for v in r) for r in df[cols].astype(object).itertuples(index=False))))
     assert text(a) == text(b)
+
+
+def test_format_counts_lose_no_format(spark):
+    e = importlib.import_module("__spark_entry__")
+    x = e.queries()["format_counts_a08"](spark, D).toPandas()
+    m = spark.read.parquet(f"{D}/manifest.parquet").toPandas()
+    assert x["n"].sum() == len(m) and set(x["source_format"]) == set(m["source_format"].fillna("none"))
+    assert (x.groupby("kind", dropna=False)["n"].sum() == x.groupby("kind", dropna=False)["total"].first()).all()

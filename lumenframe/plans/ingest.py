@@ -13,11 +13,16 @@ from .registry import query
 DELIMS = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
 
 
-def _tab_lines(spark, d):
-    """The plain tab files with decimal points and without notes, as a lines table."""
-    f = table(spark, d, "raw_files").where("delim = 'tab' AND decimal_mark = '.' AND NOT has_note").select("file_id").distinct()
-    x = table(spark, d, "raw_lines").where("file_id IS NOT NULL AND line_no IS NOT NULL AND raw IS NOT NULL").groupBy("file_id", "line_no").agg(F.min("raw").alias("raw"))
-    return x.join(f, "file_id", "left_semi").select(F.col("file_id").alias("path"), "line_no", "raw")
+def _file_lines(spark, d):
+    """The lines of every file of raw_files with its format; a file without lines has one null line.
+
+    Comment lines are no data; a repeated line counts once, and if a file is listed again the smallest entry counts.
+    """
+    delim = F.coalesce(*[F.when(F.col("delim") == n, F.lit(c)) for n, c in DELIMS.items()], F.lit("\t"))
+    fmt = F.min(F.struct(delim.alias("delim"), F.coalesce("decimal_mark", F.lit(".")).alias("mark"), F.coalesce("has_note", F.lit(False)).alias("note")))
+    f = table(spark, d, "raw_files").where("file_id IS NOT NULL").groupBy("file_id").agg(fmt.alias("f")).select("file_id", "f.*")
+    x = table(spark, d, "raw_lines").where("file_id IS NOT NULL AND line_no IS NOT NULL AND raw IS NOT NULL AND NOT startswith(raw, '#')").groupBy("file_id", "line_no").agg(F.min("raw").alias("raw"))
+    return f.join(x, "file_id", "left").select(F.col("file_id").alias("path"), "line_no", "raw", "delim", "mark", "note")
 
 
 @query("header_probe_s01", """WITH h AS (SELECT file_id, min(raw) raw FROM raw_lines WHERE line_no = 1 AND raw IS NOT NULL GROUP BY file_id), c AS (SELECT file_id, list_filter(string_split(raw, chr(9)), lambda x: trim(x) <> '') c FROM h),
@@ -36,20 +41,20 @@ def axis_plausible(spark, d):
 
 @query("matrix_maps_s03")
 def matrix_maps(spark, d):
-    """Points of the plain tab files by the typed map scan; files that are no clean map are left to the loader with rejects."""
-    points, _ = S.read_matrix_maps(_tab_lines(spark, d))
+    """Points of the files by the typed map scan; files that are no clean map are left to the loader with rejects."""
+    points, _ = S.read_matrix_maps(_file_lines(spark, d))
     return points
 
 
 @query("map_faults_s16")
 def map_faults(spark, d):
-    _, faults = S.read_matrix_maps(_tab_lines(spark, d))
+    _, faults = S.read_matrix_maps(_file_lines(spark, d))
     return faults
 
 
 @query("classes_s14")
 def classes(spark, d):
-    return S.classify(_tab_lines(spark, d))
+    return S.classify(_file_lines(spark, d))
 
 
 @query("loaded_grid_s04")

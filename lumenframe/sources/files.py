@@ -1,16 +1,19 @@
 """Text exports of maps, spectra and fit tables as DataFrames of lines, classified, probed and typed.
 
-A lines table has (path, line_no, raw), line_no from 1. Files are read whole by Spark's text source
+A lines table has (path, line_no, raw), line_no from 1, and where files differ in format also (delim, mark, note): the
+delimiter, the decimal mark and whether every line ends with a cell of text. Files are read whole by Spark's text source
 and parted into lines; everything after that is column expressions, and a file that fails is a row
 with a reason, never an exception.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .rejects import split_cells
 
 SKIP = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "ini")
 
@@ -33,6 +36,34 @@ def cells(raw: Column, delim: str = "\t") -> Column:
     return F.split(raw, f"\\Q{delim}\\E")
 
 
+def _with_cells(lines: DataFrame, delim: str) -> DataFrame:
+    """The lines with ``cells`` by their file's format, the cell of text left off; a line with broken quoting has none."""
+    if "delim" not in lines.columns:
+        lines = lines.withColumns({"delim": F.lit(delim), "mark": F.lit("."), "note": F.lit(False)})
+
+    @F.pandas_udf("array<string>")
+    def quoted(raw: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else split_cells(r, d) for r, d in zip(raw, by)], dtype=object)
+
+    marked = F.col("raw").contains('"')
+    parts = F.when(marked, F.coalesce(quoted(F.when(marked, F.col("raw")), F.col("delim")), F.array().cast("array<string>"))).otherwise(F.split("raw", F.concat(F.lit("\\Q"), F.col("delim"), F.lit("\\E"))))
+    x = lines.withColumn("cells", parts)
+    return x.withColumn("cells", F.when(F.col("note"), F.slice("cells", 1, F.greatest(F.size("cells") - 1, F.lit(0)))).otherwise(F.col("cells")))
+
+
+def _number(cell: Column) -> Column:
+    """The number that a cell spells with its file's decimal mark, else null."""
+    text = F.trim(cell)
+    other = F.when(~text.contains("."), F.replace(text, F.lit(","), F.lit(".")))
+    return F.when(F.col("mark") == ",", other).otherwise(text).try_cast("double")
+
+
+def _header(cells: Column) -> Column:
+    """The numbers of the header's cells, blank ones skipped; empty if any other cell is no number."""
+    got = F.transform(F.filter(cells, lambda c: F.trim(c) != ""), _number)
+    return F.when(F.forall(got, lambda v: v.isNotNull()), got).otherwise(F.array().cast("array<double>"))
+
+
 def header_numbers(raw: Column, delim: str = "\t") -> Column:
     """The numbers of a header line, blank cells skipped; empty if any other cell is no number."""
     full = F.filter(cells(raw, delim), lambda c: F.trim(c) != "")
@@ -54,14 +85,18 @@ def plausible_axis(a: Column) -> Column:
 
 
 def classify(lines: DataFrame, delim: str = "\t") -> DataFrame:
-    """(path, kind) by the first line and the name: fit_table, note, matrix_like, two_column or unknown; the first that fits."""
-    first = lines.where("line_no = 1").groupBy("path").agg(F.min("raw").alias("raw"))
-    low = F.lower(F.trim("raw"))
+    """(path, kind) by the first line and the name: fit_table, note, matrix_like, two_column or unknown; the first that fits.
+
+    Every path has a kind; one without a first line is unknown unless its name tells.
+    """
+    x = _with_cells(lines.where("line_no = 1").dropDuplicates(["path"]), delim).select("path", F.trim("raw").alias("raw"), F.size("cells").alias("n"), F.size(_header(F.col("cells"))).alias("numbers"))
+    first = lines.select("path").distinct().join(x, "path", "left")
+    low = F.lower("raw")
     kind = (
         F.when(low.contains("g intensity") & low.contains("d3"), "fit_table")
         .when(F.lower(F.element_at(F.split("path", "/"), -1)).contains("note") | low.rlike("^(this is|from |note )"), "note")
-        .when(F.size(header_numbers(F.col("raw"), delim)) >= C.AXIS_MIN_POINTS, "matrix_like")
-        .when((F.size(cells(F.col("raw"), delim)) == 2) | (F.size(F.split(F.trim("raw"), r"\s+")) == 2), "two_column")
+        .when(F.col("numbers") >= C.AXIS_MIN_POINTS, "matrix_like")
+        .when((F.col("n") == 2) | (F.size(F.split("raw", r"\s+")) == 2), "two_column")
         .otherwise("unknown")
     )
     return first.select("path", kind.alias("kind"))
@@ -71,10 +106,12 @@ def read_matrix_maps(lines: DataFrame, delim: str = "\t") -> tuple[DataFrame, Da
     """(points, faults): points (path, pt, x, y, w, v) of the files that are maps, and (path, reason) of the others.
 
     Line 1 holds the axis, every other line one or two coordinates and a reading for each channel; the
-    checks run in order: numeric header, coordinate count, plausible axis.
+    checks run in order: numeric header, coordinate count, plausible axis. Every path is in one of the two; one without a
+    first line has no numeric header.
     """
-    head = lines.where("line_no = 1").select("path", header_numbers(F.col("raw"), delim).alias("w"))
-    body = lines.where("line_no > 1 AND trim(raw) <> ''").select("path", "line_no", F.transform(cells(F.col("raw"), delim), lambda c: F.trim(c).try_cast("double")).alias("c"))
+    head = lines.select("path").distinct().join(_with_cells(lines.where("line_no = 1").dropDuplicates(["path"]), delim).select("path", _header(F.col("cells")).alias("w")), "path", "left")
+    head = head.withColumn("w", F.coalesce("w", F.array().cast("array<double>")))
+    body = _with_cells(lines.where("line_no > 1 AND trim(raw) <> ''"), delim).select("path", "line_no", F.transform("cells", _number).alias("c"))
     width = body.groupBy("path").agg(F.min(F.size("c")).alias("lo"), F.max(F.size("c")).alias("hi"))
     seen = head.join(width, "path", "left")
     coords = F.col("lo") - F.size("w")

@@ -156,3 +156,30 @@ def test_stream_ingest_drops_repeats(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT * FROM seen").count() == 2
+
+
+def test_every_file_of_any_format_gives_points_a_fault_or_a_kind(spark, tmp_path):
+    from lumenframe.plans import ingest
+
+    w = [1000.0 + 10 * k for k in range(20)]
+    formats = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
+    files, lines = [("empty", "comma", ".", False)], []
+    for name, c in formats.items():
+        for mark in ".," if name in ("tab", "semicolon") else ".":
+            for note in (False, True):
+                f = f"{name}{'d' if mark == ',' else ''}{'x' if note else ''}"
+                files.append((f, name, mark, note))
+                cell = lambda v: str(v).replace(".", mark)  # noqa: B023, E731
+                lines.append((f, 1, c.join(["", ""] + [cell(v) for v in w] + ["note"] * note)))
+                lines += [(f, n, c.join([f'"{cell(n / 2)}"', "1"] + [cell(v + n) for v in w] + [f'"a{c}b"'] * note)) for n in (2, 3)]
+                lines.append((f, 4, "# a remark"))
+    files.append(("cut", "pipe", ".", False))
+    lines += [("cut", 1, "||" + "|".join(map(str, w))), ("cut", 2, "1|2|3"), ("cut", 3, '"1|2'), ("stray", 1, "x")]
+    spark.createDataFrame(files, "file_id string, delim string, decimal_mark string, has_note boolean").write.parquet(f"{tmp_path}/raw_files.parquet")
+    spark.createDataFrame(lines, "file_id string, line_no int, raw string").write.parquet(f"{tmp_path}/raw_lines.parquet")
+    good = {f[0] for f in files} - {"empty", "cut"}
+    got = ingest.matrix_maps(spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.pt, r.x, r.y) for r in got) == sorted((f, p, (p + 2) / 2, 1.0) for f in good for p in (0, 1))
+    assert all(r.w == w and r.v == [v + r.pt + 2 for v in w] for r in got)
+    assert {r.path: r.reason for r in ingest.map_faults(spark, str(tmp_path)).collect()} == {"empty": "header is not numeric", "cut": "coordinate count"}
+    assert {r.path: r.kind for r in ingest.classes(spark, str(tmp_path)).collect()} == {f: "matrix_like" for f in good | {"cut"}} | {"empty": "unknown"}

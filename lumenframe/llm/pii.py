@@ -96,9 +96,13 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         got = m.group()
         new = _REFS.get(got.lower()) if len(got) > 1 else _ONE.get(got)
         if new is None and got in LOOKALIKES:
-            # a look-alike counts only next to Latin letters; words of its own script stay
-            near = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
-            new = LOOKALIKES[got] if any(c.isascii() and c.isalpha() for c in near) else None
+            # a look-alike counts only in a word with Latin letters; words of its own script stay
+            a, b = m.span()
+            while a and text[a - 1].isalpha():
+                a -= 1
+            while b < len(text) and text[b].isalpha():
+                b += 1
+            new = LOOKALIKES[got] if any(c.isascii() for c in text[a:b]) else None
         if new is not None:
             spans.append((m.start(), m.end(), new))
     if spans:
@@ -142,7 +146,8 @@ _PHONE = re.compile(
 _ISO_DATE = re.compile(r"0?\d{1,2}([./-])\d{1,2}\1\d{2,4}$")
 _NUM = r"\d{1,4}[ ]?(?:[A-Za-z](?![\w]))?(?:[ ](?:bis|ter)\b)?"
 _TAIL = r"\d{1,4}(?:[ ]?[A-Za-z](?!\w))?(?:[ ](?:bis|ter)\b)?"
-_CAP = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}[\p{Ll}'’]+)*"
+_CAP1 = r"(?:(?:[OD]['’]|Mc|Mac|De)(?=\p{Lu}))?\p{Lu}[\p{Ll}'’]+"
+_CAP = rf"{_CAP1}(?:-{_CAP1})*"
 _ADDRESS = re.compile(
     rf"(?<![\w.,-])\d{{1,4}}[A-Za-z]?(?:[ ](?:bis|ter))?,?[ ](?:{_CAP}[ ]){{1,3}}(?:{STREET_WORDS})\b"
     rf"|(?<![\w.,-])\d{{1,4}}[A-Za-z]?(?:[ ](?:bis|ter))?,?[ ](?i:rue|avenue|boulevard|bd|place|chemin|impasse|all[ée]e|quai|route|cours|square)[ ](?:(?:de[ ]la|du|des|de)[ ]|(?:de[ ]l|d)['’])?{_CAP}"

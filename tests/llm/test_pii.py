@@ -65,3 +65,9 @@ def test_operators(spark):
     assert P.personal_details(docs.limit(0)).count() == 0
     red = [(r.doc_id, r.text) for r in P.redacted_documents(docs.where("doc_id < 4")).collect()]
     assert sorted(red, key=str) == sorted([(1, "[EMAIL] [EMAIL]"), (1, "[EMAIL]"), (2, None), (3, "")], key=str)
+
+
+def test_inner_capitals_and_words_of_look_alikes():
+    for name in ("Sarah O'Brien", "Sarah McDonald", "Sarah MacLeod", "Sarah DeVito", "Sarah D'Angelo", "Sarah McCoy-O’Neil"):
+        assert found(f"thanks to {name}, who wrote it") == {("name", name)}
+    assert found("write bob@\u0435\u0445ample.org now") == {("email", "bob@\u0435\u0445ample.org")}

@@ -87,16 +87,22 @@ def als(y: np.ndarray, lam: float = 1e5, p: float = 0.01, rounds: int = 10) -> n
 
 
 def modpoly(y: np.ndarray, axis: np.ndarray, order: int = 3, rounds: int = 24, tol: float = 1e-3) -> np.ndarray:
-    """Polynomial fitted again and again to the spectrum clipped at the fit before."""
-    x = (axis - axis.mean()) / max(axis.std(), 1e-12)
+    """Polynomial fitted again and again to the spectrum cut off at the fits before; each row stops when its own fit stands still."""
+    x = (axis - axis.mean()) / (axis.std() or 1.0)
     v = np.vander(x, order + 1)
-    proj = v @ np.linalg.pinv(v)
-    work, base = y.copy(), y @ proj.T
-    for _ in range(rounds):
-        new = work @ proj.T
-        moved = np.linalg.norm(new - base, axis=1) / np.maximum(np.linalg.norm(base, axis=1), 1e-12)
-        base, work = new, np.minimum(work, new)
-        if (moved < tol).all():
+    hat = (v @ np.linalg.pinv(v)).T
+    capped, base = y.copy(), np.full_like(y, np.inf)
+    live = np.arange(len(y))
+    for r in range(rounds):
+        fit = capped[live] @ hat
+        capped[live] = np.minimum(capped[live], fit)
+        still = np.zeros(len(live), bool)
+        if r:
+            old = base[live]
+            still = np.linalg.norm(fit - old, axis=1) < tol * (np.linalg.norm(old, axis=1) + 1e-9)
+        base[live] = fit
+        live = live[~still]
+        if not len(live):
             break
     return base
 

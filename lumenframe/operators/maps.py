@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import spectral
+from .quantiles import quantiles
 
 
 def mean_pixels(pts: DataFrame) -> DataFrame:
@@ -113,10 +115,13 @@ def detect_particles(pts: DataFrame) -> DataFrame:
     The dark side is the particle unless the other side's median contrast is higher. Spectra with
     non-positive counts are never dark, so they join the particle when the split is turned.
     """
-    x = mean_pixels(pts).select("acq_id", "pt", F.col("v").alias("total")).join(pts.select("acq_id", "pt", spectral.band_contrast().alias("contrast")), ["acq_id", "pt"])
+    y = F.filter("y", lambda v: v.isNotNull())
+    total = F.when(F.size(y) > 0, F.aggregate(y, F.lit(0.0), lambda s, v: s + v) / F.size(y))
+    x = cut(pts.select("acq_id", "pt", total.alias("total"), spectral.band_contrast().alias("contrast")))  # two numbers a point
     thr = otsu(x.where("total > 0").select("acq_id", F.log10("total").alias("v")))
     x = x.join(thr, "acq_id", "left").withColumn("dark", F.coalesce((F.col("total") > 0) & (F.log10(F.greatest("total", F.lit(1e-9))) < F.col("threshold")), F.lit(False)))
-    side = x.groupBy("acq_id").agg(F.median(F.when(F.col("dark"), F.col("contrast"))).alias("md"), F.median(F.when(~F.col("dark"), F.col("contrast"))).alias("mb"))
+    mid = quantiles(x, ["acq_id", "dark"], F.col("contrast"), {"m": 0.5})
+    side = x.select("acq_id").distinct().join(mid, "acq_id", "left").groupBy("acq_id").agg(F.max(F.when(F.col("dark"), F.col("m"))).alias("md"), F.max(F.when(~F.col("dark"), F.col("m"))).alias("mb"))
     x = x.join(side.select("acq_id", F.coalesce(F.col("mb") > F.col("md"), F.lit(False)).alias("turned")), "acq_id")
     return x.select("acq_id", "pt", "total", "contrast", "threshold", "turned", (F.col("dark") != F.col("turned")).alias("particle"))
 
@@ -124,10 +129,13 @@ def detect_particles(pts: DataFrame) -> DataFrame:
 def particle_summary(found: DataFrame) -> DataFrame:
     """The eight fields of ``detect_particles`` for each acquisition."""
     on = F.col("particle")
-    return found.groupBy("acq_id").agg(
-        F.pow(F.lit(10.0), F.max("threshold")).alias("threshold_counts"), F.avg(on.cast("double")).alias("frac_particle"), F.max("turned").alias("orientation_flipped"),
-        F.median(F.when(on, F.col("contrast"))).alias("band_contrast_particle"), F.median(F.when(~on, F.col("contrast"))).alias("band_contrast_substrate"),
-        F.median(F.when(on, F.col("total"))).alias("median_counts_particle"), F.median(F.when(~on, F.col("total"))).alias("median_counts_substrate"), F.count("*").alias("n"))
+    found = cut(found)  # a few numbers a point, read for each statistic
+    out = found.groupBy("acq_id").agg(F.pow(F.lit(10.0), F.max("threshold")).alias("threshold_counts"), F.avg(on.cast("double")).alias("frac_particle"), F.max("turned").alias("orientation_flipped"), F.count("*").alias("n"))
+    for value, name in (("contrast", "band_contrast"), ("total", "median_counts")):
+        mid = quantiles(found, ["acq_id", "particle"], F.col(value), {"m": 0.5})
+        for side, flag in (("particle", True), ("substrate", False)):
+            out = out.join(mid.where(on == F.lit(flag)).select("acq_id", F.col("m").alias(f"{name}_{side}")), "acq_id", "left")
+    return out
 
 
 # ---------------------------------------------------------------- comparing a map with its reconstruction

@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import broadcast_if_small, cut
+from .quantiles import medians
 
 
 def points(images: DataFrame) -> DataFrame:
-    """Each stored point once, its axis rising, non-finite readings as null; rows whose axis doesn't fit are left out."""
-    ok = images.where("acq_id IS NOT NULL AND pt IS NOT NULL AND size(intensities) > 0 AND size(intensities) = size(wavenumber)")
+    """Each stored point once, its axis rising, non-finite readings as null; rows whose axis doesn't fit are left out.
+
+    Of a point stored more than once the smallest row (place, axis, readings) counts. Only the keys are shuffled to find
+    such points, so the spectra of all others stay where they were read.
+    """
+    held = images.where("acq_id IS NOT NULL AND pt IS NOT NULL")
+    ok = held.where("size(intensities) > 0 AND size(intensities) = size(wavenumber)")
     falls = F.element_at("wavenumber", 1) > F.element_at("wavenumber", -1)
-    y = F.transform(F.when(falls, F.reverse("intensities")).otherwise(F.col("intensities")), finite)
-    # turned before repeats are dropped, so that a caller who needs no axis shuffles none
-    return ok.select("acq_id", "pt", "i", "j", F.when(falls, F.reverse("wavenumber")).otherwise(F.col("wavenumber")).alias("w"), y.alias("y")).dropDuplicates(["acq_id", "pt"])
+    turned = lambda c: F.when(falls, F.reverse(c)).otherwise(F.col(c))
+    x = ok.select("acq_id", "pt", "i", "j", turned("wavenumber").alias("w"), F.transform(turned("intensities"), finite).alias("y"))
+    again = cut(held.groupBy("acq_id", "pt").agg(F.count("*").alias("c")).where("c > 1").select("acq_id", "pt"))
+    again = broadcast_if_small(again, 500_000)
+    first = x.join(again, ["acq_id", "pt"], "left_semi").groupBy("acq_id", "pt").agg(F.min(F.struct("i", "j", "w", "y")).alias("r")).select("acq_id", "pt", "r.*")
+    return x.join(again, ["acq_id", "pt"], "left_anti").unionByName(first)
 
 
 def finite(x: Column) -> Column:
@@ -94,7 +103,7 @@ def despike(pts: DataFrame, threshold: float = C.DESPIKE) -> DataFrame:
 
     Sigma is the acquisition's median absolute second difference / 0.6745 (1 if zero); the ends stay.
     """
-    spread = pts.select("acq_id", F.explode(second_differences()).alias("d")).where("d IS NOT NULL").groupBy("acq_id").agg((F.median(F.abs("d")) / 0.6745).alias("sd"))
+    spread = medians(pts.select("acq_id", F.explode(second_differences()).alias("d")), ["acq_id"], F.abs("d"), "sd").withColumn("sd", F.col("sd") / 0.6745)
     spread = cut(spread.select("acq_id", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd")))
     x = pts.join(broadcast_if_small(spread, 200_000), "acq_id", "left")  # one number an acquisition; a shuffle join beyond that
     y = F.col("y")
@@ -106,6 +115,17 @@ def despike(pts: DataFrame, threshold: float = C.DESPIKE) -> DataFrame:
     return x.withColumn("y", F.transform(y, fix)).drop("sd")
 
 
+def point_noise(pts: DataFrame) -> DataFrame:
+    """(acq_id, pt, sd): standard deviation of each spectrum's second differences / sqrt 6; its parts are added up where it lies."""
+    x = pts.select("acq_id", "pt", F.explode(second_differences()).alias("x"))
+    return x.groupBy("acq_id", "pt").agg((F.stddev_pop("x") / F.sqrt(F.lit(6.0))).alias("sd"))
+
+
+def noise_level(pts: DataFrame) -> DataFrame:
+    """(acq_id, noise): the median over an acquisition's spectra of ``point_noise``."""
+    return medians(point_noise(pts), ["acq_id"], F.col("sd"), "noise")
+
+
 def bin_channels(pts: DataFrame, factor: int) -> DataFrame:
     """Means of ``factor`` neighbouring channels for axis and readings; the tail that fills no bin is dropped."""
     n = F.floor(F.size("y") / F.lit(factor)).cast("int")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import learning as L
+from ..operators.quantiles import medians, quantiles
 from ..operators.ranking import ranked
-from ..session import table
+from ..session import broadcast_if_small, table
 from .registry import query
 
 
@@ -49,7 +50,12 @@ def format_counts(spark, d):
 
 @query("median_features_a02", "SELECT kind, round(median(feat_disorder_median), 6) disorder, round(stddev_pop(feat_disorder_median), 6) sd, round(median(feat_dg_ratio) FILTER (feat_dg_ratio > 0), 6) dg, count(*)::BIGINT n FROM manifest GROUP BY kind")
 def median_features(spark, d):
-    return man(spark, d).groupBy("kind").agg(F.round(F.median("feat_disorder_median"), 6).alias("disorder"), F.round(F.stddev_pop("feat_disorder_median"), 6).alias("sd"), F.round(F.median(F.when(F.col("feat_dg_ratio") > 0, F.col("feat_dg_ratio"))), 6).alias("dg"), F.count("*").alias("n"))
+    x = man(spark, d).select("kind", "feat_disorder_median", F.when(F.col("feat_dg_ratio") > 0, F.col("feat_dg_ratio")).alias("up"))
+    out = x.groupBy("kind").agg(F.round(F.stddev_pop("feat_disorder_median"), 6).alias("sd"), F.count("*").alias("n"))
+    for c, name in (("feat_disorder_median", "disorder"), ("up", "dg")):
+        m = medians(x, ["kind"], F.col(c), name).select(F.col("kind").alias("k"), F.round(name, 6).alias(name))
+        out = out.join(m, F.col("kind").eqNullSafe(F.col("k")), "left").drop("k")
+    return out.select("kind", "disorder", "sd", "dg", "n")
 
 
 @query("fraction_true_a04", "SELECT instrument, round(avg((coalesce(feat_dg_ratio, 0) > 20)::INT), 6) share, count(*)::BIGINT n FROM manifest GROUP BY instrument")
@@ -78,8 +84,10 @@ def feature_keys(spark, d):
 
 @query("protocol_spread_a11", "WITH m AS (SELECT material, protocol, median(feat_disorder_median) v FROM manifest WHERE material IS NOT NULL GROUP BY ALL) SELECT material, round(100 * (max(v) - min(v)) / nullif(abs(median(v)), 0), 6) spread FROM m GROUP BY material")
 def protocol_spread(spark, d):
-    m = man(spark, d).where("material IS NOT NULL").groupBy("material", "protocol").agg(F.median("feat_disorder_median").alias("v"))
-    return m.groupBy("material").agg(F.round(F.try_divide(100 * (F.max("v") - F.min("v")), F.abs(F.median("v"))), 6).alias("spread"))
+    m = medians(man(spark, d).where("material IS NOT NULL"), ["material", "protocol"], F.col("feat_disorder_median"), "v")
+    every = man(spark, d).where("material IS NOT NULL").select("material").distinct()
+    x = every.join(m, "material", "left").groupBy("material").agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.median("v").alias("mid"))  # one value a protocol
+    return x.select("material", F.round(F.try_divide(100 * (F.col("hi") - F.col("lo")), F.abs("mid")), 6).alias("spread"))
 
 
 @query("pearson_line_a28", "SELECT kind, round(corr(feat_dg_ratio, feat_disorder_median), 6) r, round(regr_slope(feat_dg_ratio, feat_disorder_median), 6) slope, round(regr_intercept(feat_dg_ratio, feat_disorder_median), 6) intercept FROM manifest GROUP BY kind HAVING count(*) >= 3")
@@ -89,8 +97,8 @@ def pearson_line(spark, d):
 
 @query("robust_limits_a33", "SELECT instrument, round(quantile_cont(feat_disorder_median, 0.02), 6) lo, round(quantile_cont(feat_disorder_median, 0.98), 6) hi FROM manifest WHERE feat_disorder_median IS NOT NULL GROUP BY instrument")
 def robust_limits(spark, d):
-    x = man(spark, d).where("feat_disorder_median IS NOT NULL").groupBy("instrument").agg(F.percentile("feat_disorder_median", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    return x.select("instrument", F.round(F.get("p", 0), 6).alias("lo"), F.round(F.get("p", 1), 6).alias("hi"))
+    x = quantiles(man(spark, d), ["instrument"], F.col("feat_disorder_median"), {"lo": 0.02, "hi": 0.98})
+    return x.select("instrument", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query("headline_a36", "SELECT min(n_points) least, max(n_points) most, count(*) FILTER (n_points > 500)::BIGINT large, round(min(feat_dg_ratio), 6) lo, round(max(feat_dg_ratio), 6) hi FROM manifest")
@@ -129,7 +137,7 @@ def class_lookup(spark, d):
 
 @query("instrument_join_j04", "SELECT laser_nm, grating, count(*)::BIGINT n, count(DISTINCT acq_id)::BIGINT acquisitions FROM manifest JOIN instruments USING (instrument) GROUP BY ALL")
 def instrument_join(spark, d):
-    return man(spark, d).join(F.broadcast(table(spark, d, "instruments")), "instrument").groupBy("laser_nm", "grating").agg(F.count("*").alias("n"), F.countDistinct("acq_id").alias("acquisitions"))
+    return man(spark, d).join(broadcast_if_small(table(spark, d, "instruments"), 100_000), "instrument").groupBy("laser_nm", "grating").agg(F.count("*").alias("n"), F.countDistinct("acq_id").alias("acquisitions"))
 
 
 @query("row_ids_w04", "WITH x AS (SELECT DISTINCT source_rel FROM manifest WHERE source_rel IS NOT NULL) SELECT source_rel, printf('acq-%07d', row_number() OVER (PARTITION BY split_part(source_rel, '/', 1) ORDER BY source_rel)) code FROM x")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import baselines, spectral
 
 Step = Callable[[DataFrame], DataFrame]
@@ -33,13 +34,21 @@ def _step(name: str, f: Callable, **options) -> tuple[str, Step]:
     return f"{name}({text})", lambda df: f(df, **options)
 
 
-_CROP, _DESPIKE = _step("crop", spectral.crop), _step("despike", spectral.despike)
+_CLEAN = (_step("crop", spectral.crop), _step("despike", spectral.despike))
+_ARPLS = _step("baseline", baselines.subtract_baseline, method="arpls", lam=1e5)
+_AREA = _step("normalise", spectral.normalise, method="area")
+
+
+def _poly(order: int) -> tuple[str, Step]:
+    return _step("baseline", baselines.subtract_baseline, method="poly", order=order)
+
+
 PROTOCOLS = {
-    "minimal": Pipeline((_CROP, _DESPIKE)),
-    "carbon_dg": Pipeline((_CROP, _DESPIKE, _step("baseline", baselines.subtract_baseline, method="als"), _step("normalise", spectral.normalise, method="vector"))),
-    "arpls": Pipeline((_CROP, _DESPIKE, _step("baseline", baselines.subtract_baseline, method="arpls"), _step("normalise", spectral.normalise, method="vector"))),
-    "poly3": Pipeline((_CROP, _DESPIKE, _step("baseline", baselines.subtract_baseline, method="poly", order=3), _step("normalise", spectral.normalise, method="vector"))),
-    "chord": Pipeline((_CROP, _DESPIKE, _step("baseline", baselines.subtract_baseline, method="poly", order=1), _step("normalise", spectral.normalise, method="vector"))),
+    "minimal": Pipeline(_CLEAN),
+    "carbon_dg": Pipeline((*_CLEAN, _ARPLS, _step("savgol", spectral.savgol, window=C.SG_WINDOW), _AREA)),
+    "arpls": Pipeline((*_CLEAN, _ARPLS, _step("normalise", spectral.normalise, method="vector"))),
+    "chord": Pipeline((*_CLEAN, _poly(1), _AREA)),
+    "poly3": Pipeline((*_CLEAN, _poly(3), _AREA)),
 }
 
 

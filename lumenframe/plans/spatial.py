@@ -53,7 +53,7 @@ u AS (SELECT acq_id, avg(g) nugget FROM h WHERE d >= 1 AND d < 2 GROUP BY acq_id
 SELECT acq_id, round(total, 3) total, round(nugget, 3) nugget, round(CASE WHEN nugget IS NOT NULL THEN greatest(0, nugget - noise) END, 3) unresolved, round(CASE WHEN nugget IS NOT NULL THEN greatest(0, total - nugget) END, 3) resolved FROM t LEFT JOIN u USING (acq_id) LEFT JOIN e USING (acq_id)""")
 def variance_partition(spark, d):
     p = pts(spark, d)
-    sd = p.select("acq_id", "pt", F.explode(S.second_differences()).alias("x")).groupBy("acq_id", "pt").agg(F.stddev_pop("x").alias("s")).groupBy("acq_id").agg((F.median("s") / F.sqrt(F.lit(6.0))).alias("sd"))
+    sd = S.noise_level(p).withColumnRenamed("noise", "sd")
     return M.variance_partition(M.mean_pixels(p), sd).select("acq_id", *[F.round(c, 3).alias(c) for c in ("total", "nugget", "unresolved", "resolved")])
 
 

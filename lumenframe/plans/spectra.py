@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import spectral as S
+from ..operators.quantiles import medians, quantiles
 from ..session import table
 from .protocols import protocol
 from .registry import query
@@ -103,7 +104,7 @@ def train_eval_split(spark, d):
 
 @query("amplitude_scale_p27", POINTS_SQL + "SELECT acq_id, round(CASE WHEN quantile_cont(abs(v), 0.995) > 0 THEN quantile_cont(abs(v), 0.995) ELSE 1 END, 4) scale FROM l WHERE v IS NOT NULL GROUP BY acq_id")
 def amplitude_scale(spark, d):
-    x = S.long(pts(spark, d)).where("v IS NOT NULL").groupBy("acq_id").agg(F.percentile(F.abs("v"), 0.995).alias("s"))
+    x = quantiles(S.long(pts(spark, d)), ["acq_id"], F.abs("v"), {"s": 0.995})
     return x.select("acq_id", F.round(F.when(F.col("s") > 0, F.col("s")).otherwise(1.0), 4).alias("scale"))
 
 
@@ -115,8 +116,7 @@ def second_difference(spark, d):
 
 @query("noise_sd_a25", POINTS_SQL + ", s AS (SELECT acq_id, pt, stddev_pop(d) sd FROM d2 GROUP BY ALL) SELECT acq_id, round(median(sd) / sqrt(6), 4) noise FROM s GROUP BY acq_id")
 def noise_sd(spark, d):
-    x = pts(spark, d).select("acq_id", "pt", F.explode(S.second_differences()).alias("x")).groupBy("acq_id", "pt").agg(F.stddev_pop("x").alias("sd"))
-    return x.groupBy("acq_id").agg(F.round(F.median("sd") / F.sqrt(F.lit(6.0)), 4).alias("noise"))
+    return S.noise_level(pts(spark, d)).select("acq_id", F.round("noise", 4).alias("noise"))
 
 
 @query("mean_spectrum_a01", POINTS_SQL + "SELECT acq_id, k, round(avg(wn), 7) wn, round(avg(v), 7) v FROM l GROUP BY ALL")
@@ -127,16 +127,15 @@ def mean_spectrum(spark, d):
 @query("percentile_envelope_a10", POINTS_SQL + ", n AS (SELECT acq_id, pt, min(v) lo, max(v) - min(v) n FROM l GROUP BY ALL HAVING max(v) > min(v)), x AS (SELECT l.acq_id, k, (v - lo) / n v FROM l JOIN n USING (acq_id, pt)) SELECT acq_id, k, round(quantile_cont(v, 0.1), 6) p10, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.9), 6) p90 FROM x GROUP BY ALL")
 def percentile_envelope(spark, d):
     x = pts(spark, d).where(F.array_max("y") > F.array_min("y"))
-    x = S.long(S.normalise(x, "minmax")).groupBy("acq_id", "k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    return x.select("acq_id", "k", *[F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    x = quantiles(S.long(S.normalise(x, "minmax")), ["acq_id", "k"], F.col("v"), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return x.select("acq_id", "k", *[F.round(n, 6).alias(n) for n in ("p10", "p50", "p90")])
 
 
 @query("map_snr_a27", POINTS_SQL + "SELECT acq_id, round(stddev_pop(v) / (stddev_pop(d) / sqrt(6)), 4) snr FROM d2 GROUP BY acq_id")
 def map_snr(spark, d):
-    x = pts(spark, d)
-    a = S.long(x).groupBy("acq_id").agg(F.stddev_pop("v").alias("s"))
-    b = x.select("acq_id", F.explode(S.second_differences()).alias("x")).groupBy("acq_id").agg((F.stddev_pop("x") / F.sqrt(F.lit(6.0))).alias("n"))
-    return a.join(b, "acq_id").select("acq_id", F.round(F.col("s") / F.col("n"), 4).alias("snr"))
+    """Spread of all readings over that of their second differences, in one pass: each spectrum gives its sums."""
+    x = pts(spark, d).select("acq_id", F.posexplode_outer(F.arrays_zip(F.col("y").alias("v"), F.concat(F.array(F.lit(None).cast("double")), S.second_differences()).alias("x"))).alias("k", "r"))
+    return x.groupBy("acq_id").agg(F.round(F.stddev_pop("r.v") / (F.stddev_pop("r.x") / F.sqrt(F.lit(6.0))), 4).alias("snr"))
 
 
 @query("cnr_best_a26", POINTS_SQL + """, m AS (SELECT acq_id, k, avg(v) v FROM l GROUP BY ALL), n AS (SELECT acq_id, count(DISTINCT pt) c, median(abs(d)) / sqrt(6) s FROM d2 GROUP BY acq_id),
@@ -145,7 +144,7 @@ def cnr_best(spark, d):
     """The acquisition of at least 200 spectra with the highest contrast to noise."""
     x = pts(spark, d)
     m = S.long(x).groupBy("acq_id", "k").agg(F.avg("v").alias("v")).groupBy("acq_id").agg((F.max("v") - F.min("v")).alias("r"))
-    n = x.select("acq_id", F.explode(S.second_differences()).alias("x")).groupBy("acq_id").agg((F.median(F.abs("x")) / F.sqrt(F.lit(6.0))).alias("s"))
+    n = medians(x.select("acq_id", F.explode(S.second_differences()).alias("x")), ["acq_id"], F.abs("x"), "s").withColumn("s", F.col("s") / F.sqrt(F.lit(6.0)))
     c = x.groupBy("acq_id").count().where("count >= 200")
     y = m.join(n, "acq_id").join(c, "acq_id").where("s > 0").withColumn("cnr", F.col("r") / F.col("s"))
     return y.orderBy(F.desc("cnr"), "acq_id").limit(1).select("acq_id", F.round("cnr", 4).alias("cnr"))

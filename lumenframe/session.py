@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is set.
 
-    A local folder is right only for a single-machine session (tests); a cluster names a shared one.
+    A folder of this machine is right only for a single-machine session (tests); a cluster must name a shared one.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -38,6 +40,14 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fixed_rows(df: DataFrame, limit: int) -> list:
+    """The rows of a table that is small by its nature; more than ``limit`` of them is an error, never a cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows in a table of fixed size")
+    return rows
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the workers once, so that tasks find it wherever they run."""
     sc = spark.sparkContext

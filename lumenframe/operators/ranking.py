@@ -29,3 +29,13 @@ def least_from_here(x: DataFrame, place: str, value: str, name: str) -> DataFram
     behind = piece.select("_g", "_p", F.min("_m").over(Window.partitionBy("_g").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_l"))
     here = F.min(value).over(Window.partitionBy("_g", "_p").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("_h", here).join(behind, ["_g", "_p"]).withColumn(name, F.least("_h", F.coalesce("_l", "_h"))).drop("_h", "_l")
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """The rows with the sum of ``value`` from their group's first row to their own, in the given order."""
+    x = ranked(df, groups, order, "_at")
+    piece = x.groupBy("_g", "_p").agg(F.sum(value).alias("_m"))
+    before = piece.select("_g", "_p", F.sum("_m").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_l"))
+    here = F.sum(value).over(Window.partitionBy("_g", "_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_h", here).join(before, ["_g", "_p"])
+    return x.withColumn(name, F.col("_h") + F.coalesce("_l", F.lit(0))).select(*df.columns, name)

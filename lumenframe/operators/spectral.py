@@ -213,7 +213,7 @@ def area_weights(w: np.ndarray, window: tuple[float, float], anchors: tuple, ord
     return out
 
 
-def band_areas(pts: DataFrame) -> DataFrame:
+def band_areas(pts: DataFrame, pt_type: str = "int") -> DataFrame:
     """(acq_id, pt, d1, gd2, control, disorder): band areas above their anchored baselines.
 
     The areas are linear in the readings, so each axis needs one weight vector for a band; the weights
@@ -239,7 +239,7 @@ def band_areas(pts: DataFrame) -> DataFrame:
                 rows.append((a, p, *[None if x is None or np.isnan(x) else x for x in r]))
             yield pd.DataFrame(rows, columns=["acq_id", "pt", *bands])
 
-    out = pts.select("acq_id", "pt", "w", "y").mapInPandas(run, "acq_id string, pt int, d1 double, gd2 double, control double")
+    out = pts.select("acq_id", "pt", "w", "y").mapInPandas(run, f"acq_id string, pt {pt_type}, d1 double, gd2 double, control double")
     total = F.col("d1") + F.col("gd2")
     return out.withColumn("disorder", F.when(total > 0, F.col("d1") / total))
 

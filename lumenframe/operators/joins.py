@@ -154,3 +154,33 @@ def resample(y: str, w: str, grid: list[float]) -> Column:
         return F.when(k == 0, F.get(yc, F.lit(0))).when(k >= F.size(wc), F.get(yc, F.size(yc) - 1)).otherwise(F.get(yc, k - 1) + (F.get(yc, k) - F.get(yc, k - 1)) * (g - a) / (b - a))
 
     return F.when(F.size(wc) >= 2, F.transform(F.array(*[F.lit(float(g)) for g in grid]), at))
+
+
+def on_grid(spectra: DataFrame, y: str, w: str, grid: np.ndarray, envelope: tuple[float, float] | None = None, least: int = 8) -> DataFrame:
+    """The rows with ``y`` read at the grid's wavenumbers: linear between its finite channels and level beyond them.
+
+    With an envelope only channels inside it count. Spectra with under ``least`` such channels, or whose axis has another length, are
+    left out. The axis may run either way; a wavenumber that occurs twice keeps its first reading. ``w`` is dropped.
+    """
+    lo, hi = envelope or (-np.inf, np.inf)
+
+    def run(batches):
+        for pdf in batches:
+            out, keep = [], np.zeros(len(pdf), bool)
+            for r, (a, b) in enumerate(zip(pdf[w], pdf[y])):
+                if a is None or b is None or len(a) != len(b):
+                    continue
+                a, b = np.asarray(a, float), np.asarray(b, float)
+                ok = np.isfinite(a) & np.isfinite(b) & (a >= lo) & (a <= hi)
+                if ok.sum() < least:
+                    continue
+                at, first = np.unique(a[ok], return_index=True)
+                out.append(np.interp(grid, at, b[ok][first]))
+                keep[r] = True
+            got = pdf.loc[keep].drop(columns=w)
+            got[y] = out
+            yield got
+
+    rest = [f for f in spectra.schema.fields if f.name != w]
+    schema = ", ".join(f"`{f.name}` " + ("array<double>" if f.name == y else f.dataType.simpleString()) for f in rest)
+    return spectra.mapInPandas(run, schema)

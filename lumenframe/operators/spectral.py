@@ -174,13 +174,13 @@ def savgol_matrix(n: int, window: int = C.SG_WINDOW, order: int = C.SG_ORDER) ->
     return out
 
 
-def savgol(pts: DataFrame, window: int = C.SG_WINDOW) -> DataFrame:
+def savgol(pts: DataFrame, window: int = C.SG_WINDOW, order: int = C.SG_ORDER) -> DataFrame:
     """The rows of ``savgol_matrix`` applied to each spectrum as literal weights; a null in a channel's window makes it null.
 
     Spectra of under ``window`` channels have a matrix of their own length.
     """
     y, n, half = F.col("y"), F.size("y"), window // 2
-    m = savgol_matrix(2 * window + 1, window)
+    m = savgol_matrix(2 * window + 1, window, order)
     dot = lambda row, first: sum(F.get(y, first + i) * F.lit(float(c)) for i, c in enumerate(row))
     head = F.array(*[dot(m[k][:window], F.lit(0)) for k in range(half)])
     tail = F.array(*[dot(m[k - half][-window:], n - window) for k in range(half)])
@@ -188,7 +188,7 @@ def savgol(pts: DataFrame, window: int = C.SG_WINDOW) -> DataFrame:
     full = F.concat(head, inner, tail)
     out = F.when(n >= window, full)
     for size in range(1, window):
-        short = savgol_matrix(size, window)
+        short = savgol_matrix(size, window, order)
         out = out.when(n == size, F.array(*[sum(F.get(y, int(i)) * F.lit(float(r[i])) for i in np.flatnonzero(r)) for r in short]))
     return pts.withColumn("y", out.otherwise(y))
 

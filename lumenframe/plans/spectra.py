@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spectral as S
 from ..operators.quantiles import medians, quantiles
-from ..session import table
+from ..session import broadcast_if_small, cut, table
 from .protocols import protocol
 from .registry import query
 
@@ -142,12 +142,16 @@ def map_snr(spark, d):
 q AS (SELECT acq_id, max(v) - min(v) r FROM m GROUP BY acq_id) SELECT acq_id, round(r / s, 4) cnr FROM q JOIN n USING (acq_id) WHERE c >= 200 AND s > 0 ORDER BY r / s DESC, acq_id LIMIT 1""")
 def cnr_best(spark, d):
     """The acquisition of at least 200 spectra with the highest contrast to noise."""
-    x = pts(spark, d)
+    return contrast_to_noise(pts(spark, d)).orderBy(F.desc("cnr"), "acq_id").limit(1).select("acq_id", F.round("cnr", 4).alias("cnr"))
+
+
+def contrast_to_noise(x: DataFrame) -> DataFrame:
+    """(acq_id, cnr): range of the mean spectrum over the noise of the second differences, for acquisitions of at least 200 spectra."""
+    enough = cut(x.groupBy("acq_id").count().where("count >= 200").select("acq_id"))
+    x = x.join(broadcast_if_small(enough, 200_000), "acq_id", "left_semi")
     m = S.long(x).groupBy("acq_id", "k").agg(F.avg("v").alias("v")).groupBy("acq_id").agg((F.max("v") - F.min("v")).alias("r"))
     n = medians(x.select("acq_id", F.explode(S.second_differences()).alias("x")), ["acq_id"], F.abs("x"), "s").withColumn("s", F.col("s") / F.sqrt(F.lit(6.0)))
-    c = x.groupBy("acq_id").count().where("count >= 200")
-    y = m.join(n, "acq_id").join(c, "acq_id").where("s > 0").withColumn("cnr", F.col("r") / F.col("s"))
-    return y.orderBy(F.desc("cnr"), "acq_id").limit(1).select("acq_id", F.round("cnr", 4).alias("cnr"))
+    return m.join(n, "acq_id").where("s > 0").select("acq_id", (F.col("r") / F.col("s")).alias("cnr"))
 
 
 @query("band_area_a19")

@@ -1,4 +1,4 @@
-"""Join shapes that Spark has no single operator for: similarity within blocks, bands, nearest points, brackets and boxes."""
+"""Join shapes that Spark has no single operator for: matched groups, bands, nearest points, brackets and boxes."""
 
 from __future__ import annotations
 
@@ -10,61 +10,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def one_row_per_id(df: DataFrame, id_col: str, *columns: Column) -> DataFrame:
-    """Repeated rows of an id folded into one: the smallest value of each column, nulls last."""
-    return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*columns)
-
-
-def top_neighbours(vectors: DataFrame, k: int, floor: float = -1.0, block_rows: int = 2048) -> DataFrame:
-    """(basis, i, j, sim, rank): for each vector of (basis, id, v) its k most similar others, exactly.
-
-    Vectors meet block by block: each task multiplies two blocks of at most about ``block_rows`` rows and
-    passes on k rows a query, so nothing of quadratic size is shuffled; the arithmetic itself is
-    quadratic in a basis. Null, zero and non-finite vectors take no part; equal similarities
-    (to 12 decimals) go to the smaller id.
-    """
-    x = vectors.where("id IS NOT NULL AND size(v) > 0").select("basis", "id", F.col("v").cast("array<double>").alias("v")).dropDuplicates(["basis", "id"])
-    x = x.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))).where("n >= 1e-12 AND n < double('Infinity')").drop("n")
-    blocks = x.groupBy("basis").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb"))
-    x = x.join(F.broadcast(blocks), "basis").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    both = x.select("basis", F.lit(0).alias("role"), "id", "v", F.col("b").alias("qb"), every.alias("sb")).unionByName(x.select("basis", F.lit(1).alias("role"), "id", "v", F.col("b").alias("sb"), every.alias("qb")))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, s = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1].sort_values("id")
-        out = {"i": [], "j": [], "sim": []}
-        by_size: dict[int, list[int]] = {}
-        for r, v in enumerate(q["v"]):
-            by_size.setdefault(len(v), []).append(r)
-        for size, rows in by_size.items():
-            mates = [r for r, v in enumerate(s["v"]) if len(v) == size]
-            if not mates:
-                continue
-            unit = lambda f, rr: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack([np.asarray(f["v"].iloc[r], float) for r in rr]))
-            qi, si = q["id"].to_numpy()[rows], s["id"].to_numpy()[mates]
-            sim = np.round(unit(q, rows) @ unit(s, mates).T, 12)
-            sim[qi[:, None] == si[None, :]] = -np.inf
-            least = np.partition(sim, max(sim.shape[1] - k, 0), axis=1)[:, max(sim.shape[1] - k, 0)]
-            a, b = np.nonzero((sim >= least[:, None]) & (sim >= floor))
-            out["i"] += qi[a].tolist()
-            out["j"] += si[b].tolist()
-            out["sim"] += sim[a, b].tolist()
-        n = len(out["i"])
-        text = pd.DataFrame({"basis": [pdf["basis"].iloc[0]] * n, "i": out["i"], "j": out["j"]}, dtype=object)  # also when empty
-        return text.assign(sim=np.array(out["sim"], float))
-
-    near = both.groupBy("basis", "qb", "sb").applyInPandas(match, "basis string, i string, j string, sim double")
-    best = Window.partitionBy("basis", "i").orderBy(F.desc("sim"), "j")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def mutual_knn(vectors: DataFrame, k: int = 5, floor: float = 0.65) -> DataFrame:
-    """(basis, i, j, sim), i < j: pairs in which each is among the other's k nearest, with similarity at least ``floor``."""
-    near = top_neighbours(vectors, k, floor)
-    back = near.select("basis", F.col("j").alias("i"), F.col("i").alias("j"))
-    return near.where("i < j").join(back, ["basis", "i", "j"], "left_semi").select("basis", "i", "j", "sim")
-
-
 def matched_groups(vectors: DataFrame, floor: float, block_rows: int = 1024) -> DataFrame:
     """(a, b, sim), a < b: all pairs of unlike groups of (g, v) of which two vectors have a cosine of at least ``floor``; the best one counts.
 
@@ -129,6 +74,19 @@ def band_join(rows: DataFrame, key: str, value: str, id_col: str, delta: float)
     return met.drop("b").unionByName(own)
 
 
+def band_pairs(rows: DataFrame, key: str, value: str, id_col: str, delta: float) -> DataFrame:
+    """(a, b, delta), a < b: the pairs of ids under one key whose values differ by at most delta; one row an id and key.
+
+    For values that hardly repeat; where many ids share a value ``band_join`` gives the same as classes. Ids meet by buckets of width delta.
+    """
+    c = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value) & F.col(id_col).isNotNull())
+    c = c.groupBy(F.col(key).alias("key"), F.col(id_col).alias("id")).agg(F.min(value).alias("v")).withColumn("bk", F.floor(F.col("v") / delta))
+    left = c.select("key", "bk", F.col("id").alias("p"), F.col("v").alias("vp"))
+    right = c.select("key", F.explode(F.array(F.col("bk") - 1, F.col("bk"), F.col("bk") + 1)).alias("bk"), F.col("id").alias("q"), F.col("v").alias("vq"))
+    met = left.join(right, ["key", "bk"]).where((F.col("p") < F.col("q")) & (F.abs(F.col("vp") - F.col("vq")) <= delta))
+    return met.select(F.col("p").alias("a"), F.col("q").alias("b"), F.abs(F.col("vp") - F.col("vq")).alias("delta"))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, key: str, at: str, place: str, cell: float) -> DataFrame:
     """Each left row with the right row nearest to it under the same key (ties to the lower place), null beyond ``cell``.
 

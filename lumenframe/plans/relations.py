@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import graph as G
 from ..operators import joins as J
-from ..session import table
+from ..operators import neighbours as N
+from ..operators import spectral as S
+from ..operators.quantiles import medians
+from ..session import broadcast_if_small, cut, fixed_rows, table
+from .protocols import protocol
 from .registry import query
+from .spectra import pts
 
 KG = """
 WITH n AS (SELECT trim(id) id, min(ntype) ntype, min(kind) kind, min(carbon_class) carbon_class, min(parent) parent, min(psnr_eval_db) psnr FROM kg_nodes WHERE trim(id) <> '' GROUP BY trim(id)),
@@ -32,40 +38,86 @@ def both_ways(p):
     return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "etype")).distinct()
 
 
+GRID = np.arange(1000.0, 1801.0, 2.0)
+ENVELOPE = (990.0, 1810.0)
+
+
 def spectra_of(spark, d):
-    """(basis, id, v): one vector an acquisition: its sound mean spectrum by rising axis."""
+    """(basis, id, v): one vector an acquisition: its sound mean spectrum on the common grid."""
     r = table(spark, d, "records")
     s, w = F.col("mean_spectrum"), F.col("wavenumber")
     ok = F.coalesce((F.size(s) == F.size(w)) & (F.size(s) > 0) & F.forall(s, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    v = F.transform(F.array_sort(F.arrays_zip(w.alias("w"), s.alias("s"))), lambda x: x["s"])
-    return r.where(ok & F.col("acq_id").isNotNull()).groupBy(F.col("acq_id").alias("id")).agg(F.min(v).alias("v")).select(F.lit("spectral").alias("basis"), "id", "v")
+    rising = F.array_sort(F.arrays_zip(w.alias("w"), s.alias("s")))
+    one = r.where(ok & F.col("acq_id").isNotNull()).groupBy(F.col("acq_id").alias("id")).agg(F.min(F.struct(F.transform(rising, lambda x: x["s"]).alias("v"), F.transform(rising, lambda x: x["w"]).alias("w"))).alias("r"))
+    return J.on_grid(one.select(F.lit("spectral").alias("basis"), "id", "r.v", "r.w"), "v", "w", GRID, ENVELOPE)
+
+
+def vectors_of(spark, d):
+    """(basis, id, v): spectra on the common grid; acquisitions without one by their standardised features, absent ones at the mean.
+
+    The features are the finite ones that any record has, in order of their names; their spread counts absent values as the mean.
+    """
+    spectral = cut(spectra_of(spark, d))
+    r = table(spark, d, "records").where("acq_id IS NOT NULL")
+    every = r.agg(F.countDistinct("acq_id").alias("n")).first()["n"]
+    x = r.select(F.col("acq_id").alias("id"), F.explode("features").alias("k", "v")).where(~F.isnan("v") & (F.abs("v") < float("inf"))).groupBy("id", "k").agg(F.min("v").alias("v"))
+    stat = sorted((q["k"], q["m"], q["sd"] or 1.0) for q in fixed_rows(x.groupBy("k").agg(F.avg("v").alias("m"), F.sqrt(F.var_pop("v") * F.count("*") / every).alias("sd")), 10_000))
+    rest = r.select(F.col("acq_id").alias("id")).distinct().join(spectral.select("id"), "id", "left_anti")
+    held = x.join(rest, "id", "left_semi").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("f"))  # the features of one acquisition
+    z = F.array(*[F.coalesce((F.element_at("f", F.lit(k)) - m) / sd, F.lit(0.0)) for k, m, sd in stat]) if stat else F.array().cast("array<double>")
+    return spectral.unionByName(held.select(F.lit("tabular").alias("basis"), "id", z.alias("v")))
 
 
 SPECTRA = """
-WITH r AS (SELECT acq_id id, list_transform(list_sort(list_zip(wavenumber, mean_spectrum)), lambda x: x[2]) v FROM records WHERE acq_id IS NOT NULL AND len(mean_spectrum) = len(wavenumber) AND len(mean_spectrum) > 0 AND len(list_filter(mean_spectrum, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-u AS (SELECT id, min(v) v FROM r GROUP BY id),
-c AS (SELECT a.id i, b.id j, round(list_cosine_similarity(a.v, b.v), 12) s FROM u a JOIN u b ON a.id <> b.id AND len(a.v) = len(b.v) AND list_dot_product(a.v, a.v) > 1e-24 AND list_dot_product(b.v, b.v) > 1e-24),
+WITH r AS (SELECT acq_id id, list_transform(list_sort(list_zip(wavenumber, mean_spectrum)), lambda x: x[1]) w, list_transform(list_sort(list_zip(wavenumber, mean_spectrum)), lambda x: x[2]) v FROM records WHERE acq_id IS NOT NULL AND len(mean_spectrum) = len(wavenumber) AND len(mean_spectrum) > 0 AND len(list_filter(mean_spectrum, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+o AS (SELECT id, min({'v': v, 'w': w}) m FROM r GROUP BY id), l0 AS (SELECT id, unnest(m.w) wn, unnest(m.v) v FROM o), l1 AS (SELECT *, count(*) OVER (PARTITION BY id) c FROM l0 WHERE wn BETWEEN 990 AND 1810),
+l AS (SELECT *, lead(wn) OVER q nw, lead(v) OVER q nv, first_value(v) OVER q fv FROM l1 WHERE c >= 8 WINDOW q AS (PARTITION BY id ORDER BY wn)),
+g AS (SELECT i.id, i.fv, 1000.0 + 2 * k x FROM (SELECT DISTINCT id, fv FROM l) i, range(401) t(k)),
+a AS (SELECT g.id, g.x, CASE WHEN l.wn IS NULL THEN g.fv WHEN l.nw IS NULL THEN l.v ELSE (l.nv - l.v) / (l.nw - l.wn) * (g.x - l.wn) + l.v END y FROM g ASOF LEFT JOIN l ON g.id = l.id AND g.x >= l.wn),
+sp AS (SELECT id, list(y ORDER BY x) v FROM a GROUP BY id),
+"""
+VECTORS = SPECTRA + """
+fx AS (SELECT DISTINCT acq_id id, unnest(map_keys(features)) k, unnest(map_values(features)) v FROM records WHERE acq_id IS NOT NULL), fy AS (SELECT id, k, min(v) v FROM fx WHERE isfinite(v) GROUP BY ALL),
+fs AS (SELECT k, avg(v) m, sqrt(var_pop(v) * count(*) / (SELECT count(DISTINCT acq_id) FROM records)) sd FROM fy GROUP BY k),
+fi AS (SELECT DISTINCT id FROM fy WHERE id NOT IN (SELECT id FROM sp)),
+tb AS (SELECT fi.id, list(coalesce((fy.v - fs.m) / CASE WHEN fs.sd = 0 THEN 1 ELSE fs.sd END, 0.0) ORDER BY fs.k) v FROM fi CROSS JOIN fs LEFT JOIN fy ON fy.id = fi.id AND fy.k = fs.k GROUP BY fi.id),
+u AS (SELECT 'spectral' basis, id, v FROM sp UNION ALL SELECT 'tabular', id, v FROM tb),
+c AS (SELECT a.basis, a.id i, b.id j, round(list_cosine_similarity(a.v, b.v), 12) s FROM u a JOIN u b ON a.basis = b.basis AND a.id <> b.id AND list_dot_product(a.v, a.v) > 1e-24 AND list_dot_product(b.v, b.v) > 1e-24),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) n FROM c WHERE s >= 0.65)
 """
 
 
-@query("mutual_knn_j06", SPECTRA + "k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) n FROM c WHERE s >= 0.65) SELECT x.i, x.j, round(x.s, 4) sim FROM k x JOIN k y ON x.i = y.j AND x.j = y.i WHERE x.n <= 5 AND y.n <= 5 AND x.i < x.j")
+@query("mutual_knn_j06", VECTORS + "SELECT x.i, x.j, x.basis, round(x.s, 4) sim FROM k x JOIN k y ON x.i = y.j AND x.j = y.i WHERE x.n <= 5 AND y.n <= 5 AND x.i < x.j")
 def mutual_knn(spark, d):
-    return J.mutual_knn(spectra_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR).select("i", "j", F.round("sim", 4).alias("sim"))
+    """Pairs among each other's five nearest: by spectrum on the common grid, or by features where there is none."""
+    return N.mutual_knn(vectors_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR).select("i", "j", "basis", F.round("sim", 4).alias("sim"))
 
 
-@query("similar_to_g05", SPECTRA + "k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) n FROM c WHERE s >= 0.65) SELECT x.i a, x.j b, 'SIMILAR_TO' etype, round_even(x.s, 4) weight, 'spectral' basis, 'ok' confidence FROM k x JOIN k y ON x.i = y.j AND x.j = y.i WHERE x.n <= 5 AND y.n <= 5 AND x.i < x.j")
+@query("similar_to_g05", VECTORS + "SELECT x.i a, x.j b, 'SIMILAR_TO' etype, round_even(x.s, 4) weight, x.basis, CASE x.basis WHEN 'spectral' THEN 'ok' ELSE 'low' END confidence FROM k x JOIN k y ON x.i = y.j AND x.j = y.i WHERE x.n <= 5 AND y.n <= 5 AND x.i < x.j")
 def similar_to(spark, d):
-    x = J.mutual_knn(spectra_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR)
-    return x.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit("SIMILAR_TO").alias("etype"), F.bround("sim", 4).alias("weight"), "basis", F.lit("ok").alias("confidence"))
+    x = N.mutual_knn(vectors_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR)
+    return x.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit("SIMILAR_TO").alias("etype"), F.bround("sim", 4).alias("weight"), "basis", F.when(F.col("basis") == "spectral", "ok").otherwise("low").alias("confidence"))
 
 
-@query("pair_cosines_j05", SPECTRA + "z AS (SELECT i, count(*) n, max(s) top, median(s) mid FROM c GROUP BY i) SELECT i, n::BIGINT n, round(top, 6) top FROM z")
+@query("pair_cosines_j05", VECTORS + ", z AS (SELECT basis, i, count(*) n, max(s) top FROM c GROUP BY ALL) SELECT basis, i, n::BIGINT n, round(top, 6) top FROM z")
 def pair_cosines(spark, d):
-    """For each acquisition how many it is compared with and the highest cosine, from blocks of all pairs."""
-    x = spectra_of(spark, d).where(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a) > 1e-24)
-    top = J.top_neighbours(x, 1).select("i", F.round("sim", 6).alias("top"))
-    n = x.groupBy(F.size("v").alias("z")).agg((F.count("*") - 1).alias("n"))
-    return x.select(F.col("id").alias("i"), F.size("v").alias("z")).join(F.broadcast(n), "z").join(top, "i").select("i", "n", "top")
+    """For each acquisition how many it is compared with and the highest cosine."""
+    x = cut(vectors_of(spark, d)).where(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a) > 1e-24)
+    top = N.top_neighbours(x, 1).select("basis", "i", F.round("sim", 6).alias("top"))
+    n = x.groupBy("basis").agg((F.count("*") - 1).alias("n"))
+    return top.join(broadcast_if_small(n, 1000), "basis").select("basis", "i", "n", "top")
+
+
+@query("class_similarity_g17", VECTORS + ", w AS (SELECT basis, id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM u WHERE list_dot_product(v, v) > 1e-24), q AS (SELECT acq_id id, min(carbon_class) cls FROM records WHERE acq_id IS NOT NULL GROUP BY 1), e AS (SELECT basis, coalesce(cls, '?') cls, unnest(generate_series(1, len(v))) p, unnest(v) x FROM w JOIN q USING (id)), m AS (SELECT basis, cls, p, avg(x) x FROM e GROUP BY ALL) SELECT a.basis, a.cls class_a, b.cls class_b, round(sum(a.x * b.x), 6) mean_cosine FROM m a JOIN m b ON a.basis = b.basis AND a.p = b.p AND a.cls <= b.cls GROUP BY ALL")
+def class_similarity(spark, d):
+    """The similarity matrix folded to classes: the mean cosine over all pairs of two classes is the product of their mean unit vectors."""
+    x = vectors_of(spark, d).withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))).where("n > 1e-12")
+    cls = table(spark, d, "records").where("acq_id IS NOT NULL").groupBy(F.col("acq_id").alias("id")).agg(F.coalesce(F.min("carbon_class"), F.lit("?")).alias("cls"))
+    x = x.select("basis", "id", F.zip_with("v", F.array_repeat("n", F.size("v")), lambda a, n: a / n).alias("v"))
+    m = x.join(cls, "id").select("basis", "cls", F.posexplode("v").alias("p", "x")).groupBy("basis", "cls", "p").agg(F.avg("x").alias("x"))
+    m = cut(m)
+    b = m.select("basis", F.col("cls").alias("class_b"), "p", F.col("x").alias("y"))
+    return m.withColumnRenamed("cls", "class_a").join(b, ["basis", "p"]).where("class_a <= class_b").groupBy("basis", "class_a", "class_b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("mean_cosine"))
 
 
 def disorder_of(spark, d):
@@ -83,21 +135,64 @@ def band_join(spark, d):
     return x.select("key", "id_i", "id_j", F.round(F.col("value_j") - F.col("value_i"), 4).alias("delta"), "n_i", "n_j")
 
 
-@query("disorder_edges_g06", DIS + "SELECT a.id a, b.id b, 'DISORDER_NEIGHBOUR' etype, a.p protocol, round(b.v - a.v, 4) delta FROM c a JOIN c b ON a.p = b.p AND b.v > a.v AND b.v - a.v <= 0.06")
+#: Every acquisition with a disorder; a null protocol is a protocol of its own.
+DIS_ALL = "WITH r AS (SELECT acq_id, min(protocol) p0, min(CASE WHEN NOT isnan(features['disorder_median']) THEN features['disorder_median'] END) v FROM records WHERE acq_id IS NOT NULL GROUP BY acq_id), s AS (SELECT acq_id, coalesce(p0, '?') p, v FROM r WHERE v IS NOT NULL), c AS (SELECT p, v, min(acq_id) id, count(*)::BIGINT n FROM s GROUP BY p, v) "
+
+
+def disorder_classes(spark, d):
+    return disorder_of(spark, d).withColumn("protocol", F.coalesce("protocol", F.lit("?")))
+
+
+@query("disorder_edges_g06", DIS_ALL + "SELECT a.id a, b.id b, 'DISORDER_NEIGHBOUR' etype, a.p protocol, round(b.v - a.v, 4) delta, a.n n_a, b.n n_b FROM c a JOIN c b ON a.p = b.p AND b.v > a.v AND b.v - a.v <= 0.06 UNION ALL SELECT id, id, 'DISORDER_NEIGHBOUR', p, 0.0, n, n FROM c WHERE n > 1")
 def disorder_edges(spark, d):
-    x = J.band_join(disorder_of(spark, d), "protocol", "v", "acq_id", C.DISORDER_DELTA).where("id_i <> id_j")
-    return x.select(F.col("id_i").alias("a"), F.col("id_j").alias("b"), F.lit("DISORDER_NEIGHBOUR").alias("etype"), F.col("key").alias("protocol"), F.round(F.col("value_j") - F.col("value_i"), 4).alias("delta"))
+    """The links between classes of equal protocol and disorder, named by their smallest acquisition and with their sizes.
+
+    With ``disorder_members_g06`` they are all links: every member of a with every one of b, and where a = b every two members.
+    """
+    x = J.band_join(disorder_classes(spark, d), "protocol", "v", "acq_id", C.DISORDER_DELTA)
+    return x.select(F.col("id_i").alias("a"), F.col("id_j").alias("b"), F.lit("DISORDER_NEIGHBOUR").alias("etype"), F.col("key").alias("protocol"), F.round(F.col("value_j") - F.col("value_i"), 4).alias("delta"), F.col("n_i").alias("n_a"), F.col("n_j").alias("n_b"))
+
+
+@query("disorder_members_g06", DIS_ALL + "SELECT s.acq_id, s.p protocol, c.id class_id FROM s JOIN c USING (p, v)")
+def disorder_members(spark, d):
+    """The class of every acquisition with a disorder."""
+    x = disorder_classes(spark, d).where("v IS NOT NULL")
+    c = x.groupBy("protocol", "v").agg(F.min("acq_id").alias("class_id"))
+    return x.join(c, ["protocol", "v"]).select("acq_id", "protocol", "class_id")
+
+
+@query("disorder_pairs_g06", DIS_ALL + "SELECT x.p protocol, count(*)::BIGINT pairs FROM s x JOIN s y ON x.p = y.p AND x.acq_id < y.acq_id AND abs(x.v - y.v) <= 0.06 GROUP BY 1")
+def disorder_pairs(spark, d):
+    """How many pairs of acquisitions the links stand for, by protocol."""
+    x = disorder_edges(spark, d)
+    n = F.when(F.col("a") == F.col("b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    return x.groupBy("protocol").agg(F.sum(n).alias("pairs"))
 
 
 @query("shared_component_j08")
 def shared_component(spark, d):
-    """(a, b, weight): all pairs of unlike specimens of which endmembers match; the best match of a pair counts."""
+    """(a, b, weight): all pairs of unlike specimens of which endmembers match on the common grid; the best match of a pair counts."""
     r = table(spark, d, "records").where("acq_id IS NOT NULL AND size(endmembers) > 0")
-    em = r.select(F.trim("specimen").alias("g"), F.explode("endmembers").alias("v")).where("g <> ''")
-    x = J.matched_groups(em.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))), C.ENDMEMBER_MATCH)
+    em = r.select(F.trim("specimen").alias("g"), F.coalesce("endmember_wn", "wavenumber").alias("w"), F.explode("endmembers").alias("v")).where("g <> ''")
+    em = J.on_grid(em.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))), "v", "w", GRID, ENVELOPE)
+    x = J.matched_groups(em, C.ENDMEMBER_MATCH)
     return x.select("a", "b", F.bround("sim", 4).alias("weight"))
 
 
+@query("model_edges_g04", "SELECT DISTINCT trim(acq_id) a, trim(acq_id) || ':splat' b, 'MODELLED_BY' etype FROM records WHERE trim(acq_id) <> '' AND splat IS NOT NULL")
+def model_edges(spark, d):
+    """From each acquisition to its fitted field."""
+    r = table(spark, d, "records").where("trim(acq_id) <> '' AND splat IS NOT NULL").select(F.trim("acq_id").alias("a")).distinct()
+    return r.select("a", F.concat("a", F.lit(":splat")).alias("b"), F.lit("MODELLED_BY").alias("etype"))
+
+
+@query("built_endmember_edges_g03", "SELECT DISTINCT trim(acq_id) a, trim(acq_id) || ':em' || unnest(generate_series(0, len(endmembers) - 1)) b, 'HAS_ENDMEMBER' etype FROM records WHERE trim(acq_id) <> '' AND len(endmembers) > 0")
+def built_endmember_edges(spark, d):
+    """From each acquisition to its endmembers, numbered in their order."""
+    r = table(spark, d, "records").where("trim(acq_id) <> '' AND size(endmembers) > 0").select(F.trim("acq_id").alias("a"), F.explode(F.sequence(F.lit(0), F.size("endmembers") - 1)).alias("c"))
+    return r.select("a", F.concat("a", F.lit(":em"), F.col("c").cast("string")).alias("b"), F.lit("HAS_ENDMEMBER").alias("etype")).distinct()
+
+
 @query("built_nodes_g01", "WITH r AS (SELECT * FROM records WHERE acq_id IS NOT NULL), u AS (SELECT trim(acq_id) id, 'acquisition' t FROM r UNION ALL SELECT trim(specimen), 'specimen' FROM r UNION ALL SELECT trim(material), 'material' FROM r UNION ALL SELECT trim(config), 'config' FROM r UNION ALL SELECT acq_id || ':em' || unnest(generate_series(0, len(endmembers) - 1)), 'endmember' FROM r WHERE len(endmembers) > 0 UNION ALL SELECT acq_id || ':splat', 'splatmodel' FROM r WHERE splat IS NOT NULL) SELECT id, min(t) ntype FROM u WHERE id <> '' GROUP BY id")
 def built_nodes(spark, d):
     return G.built_nodes(table(spark, d, "records"))
@@ -217,14 +312,36 @@ def shared_specimens(spark, d):
     return q.where("etype = 'HAS_ACQUISITION'").join(s, F.col("a") == F.col("s"), "left_semi").select(F.col("b").alias("acq_id")).distinct()
 
 
-@query("protocol_only_gq2", DIS.replace("WITH", "WITH b0 AS (SELECT 1),", 1) + ", l AS (SELECT p, id, v FROM c), k AS (SELECT DISTINCT x.p, x.id FROM l x JOIN l y ON x.p = y.p AND x.id <> y.id AND abs(x.v - y.v) <= 0.06) SELECT p protocol, count(*)::BIGINT close FROM k GROUP BY p")
-def protocol_only(spark, d):
+@query("close_by_protocol_g06", DIS.replace("WITH", "WITH b0 AS (SELECT 1),", 1) + ", l AS (SELECT p, id, v FROM c), k AS (SELECT DISTINCT x.p, x.id FROM l x JOIN l y ON x.p = y.p AND x.id <> y.id AND abs(x.v - y.v) <= 0.06) SELECT p protocol, count(*)::BIGINT close FROM k GROUP BY p")
+def close_by_protocol(spark, d):
     """How many disorder classes of each protocol have a close one under the same protocol."""
     x = J.band_join(disorder_of(spark, d), "protocol", "v", "acq_id", C.DISORDER_DELTA).where("id_i <> id_j")
     ids = x.select("key", F.explode(F.array("id_i", "id_j")).alias("id")).distinct()
     return ids.groupBy(F.col("key").alias("protocol")).agg(F.count("*").alias("close"))
 
 
+def protocol_disorder(spark, d, names):
+    """(acq_id, protocol, v): the median disorder of each acquisition's spectra under each named protocol."""
+    out = None
+    for name in names:
+        x = S.band_areas(protocol(name).apply(pts(spark, d)))
+        m = medians(cut(x.select("acq_id", "disorder")), ["acq_id"], F.col("disorder"), "v").select("acq_id", F.lit(name).alias("protocol"), "v")
+        out = m if out is None else out.unionByName(m)
+    return cut(out)
+
+
+@query("protocol_only_gq2")
+def protocol_only(spark, d):
+    """(a, b, delta_close, delta_far): acquisitions whose disorder is close under carbon_dg but not under chord."""
+    x = protocol_disorder(spark, d, ("carbon_dg", "chord"))
+    near = x.where("protocol = 'carbon_dg'")
+    # no two acquisitions need be one class here: the id takes part in the value's class
+    c = J.band_pairs(near, "protocol", "v", "acq_id", C.DISORDER_DELTA)
+    far = x.where("protocol = 'chord'").select("acq_id", "v")
+    y = c.join(far.select(F.col("acq_id").alias("a"), F.col("v").alias("va")), "a").join(far.select(F.col("acq_id").alias("b"), F.col("v").alias("vb")), "b")
+    return y.withColumn("far", F.abs(F.col("va") - F.col("vb"))).where(F.col("far") > C.DISORDER_DELTA).select("a", "b", F.round("delta", 4).alias("delta_close"), F.round("far", 4).alias("delta_far"))
+
+
 @query("fitted_maps_gq3", KG + "SELECT n.id FROM n WHERE ntype = 'acquisition' AND id IN (SELECT a FROM q WHERE etype = 'MODELLED_BY')")
 def fitted_maps(spark, d):
     n, _ = kg(spark, d)
@@ -241,10 +358,25 @@ def clustered_configs(spark, d):
     return q.groupBy(F.col("b").alias("config")).agg(F.countDistinct("carbon_class").alias("c"), F.count("*").alias("n")).where("c = 1 AND n > 1").select("config", "n")
 
 
-@query("resample_j10")
+@query("community_configs_gq4")
+def community_configs(spark, d):
+    """Configs of several acquisitions which all fall in one community of the content links."""
+    n, _ = kg(spark, d)
+    q = both_ways(pairs(spark, d)).where("etype = 'USED_CONFIG'")
+    cfg = n.where("ntype = 'config'").select(F.col("id").alias("b"))
+    x = q.join(cfg, "b").join(communities(spark, d).select(F.col("id").alias("a"), "community"), "a")
+    return x.groupBy(F.col("b").alias("config")).agg(F.countDistinct("community").alias("c"), F.count("*").alias("n")).where("c = 1 AND n > 1").select("config", "n")
+
+
+@query("community_order_g18")
+def community_order(spark, d):
+    """Acquisitions in the order of the similarity matrix: community, then disorder, with the rows where a community begins."""
+    dis = disorder_of(spark, d).select(F.trim("acq_id").alias("id"), F.col("v").alias("disorder")).groupBy("id").agg(F.min("disorder").alias("disorder"))
+    return G.ordered_members(communities(spark, d).join(dis, "id", "left").select("id", "community", "disorder"))
+
+
+@query("resample_j10", SPECTRA + "z AS (SELECT id, v FROM sp) SELECT id acq_id, round(list_sum(v), 4) total, round(v[1], 6) first, round(v[201], 6) middle, round(v[401], 6) last FROM z")
 def resample(spark, d):
-    """Mean spectra on the common grid of step 2, as one array a spectrum."""
-    s = table(spark, d, "records").where("acq_id IS NOT NULL AND size(mean_spectrum) = size(wavenumber) AND size(mean_spectrum) >= 8").dropDuplicates(["acq_id"])
-    falls = F.element_at("wavenumber", 1) > F.element_at("wavenumber", -1)
-    s = s.select("acq_id", F.when(falls, F.reverse("wavenumber")).otherwise(F.col("wavenumber")).alias("w"), F.when(falls, F.reverse("mean_spectrum")).otherwise(F.col("mean_spectrum")).alias("y"))
-    return s.select("acq_id", J.resample("y", "w", [1000.0 + 2 * k for k in range(401)]).alias("v"))
+    """Mean spectra on the common grid of step 2: their sum and three of their readings."""
+    at = lambda k: F.round(F.get("v", F.lit(k)), 6)
+    return spectra_of(spark, d).select(F.col("id").alias("acq_id"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), at(0).alias("first"), at(200).alias("middle"), at(400).alias("last"))

@@ -1,8 +1,8 @@
 """Implausible readings: Hampel filter against the source's own noise, stuck values, physical bounds.
 
-The points are range-partitioned by (source, point) and sorted, so a source of any size is spread over
-many tasks and each task reads its points in order, in blocks. A block is a matrix of points x
-channels; from it come
+The points of a source are cut into blocks by their numbers alone, so a block is the same on any cluster. The
+blocks are range-partitioned and sorted, so a source of any size is spread over many tasks and each
+task reads whole blocks in order. A block is a matrix of points x channels; from it come
 
 * readings that break the bounds, and runs of equal readings along the channels or over the points,
 * the block's noise and, for each channel, how many points show a standing feature there,
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
 RUN = 8  # equal readings that make a stuck run
 APART = 10.0  # noise units that make a spike
 LOOSE = 5.0  # block noise units that make a candidate
 SHOWN = 3.5  # noise units at which a point shows a feature
 ROUGH = 1.5  # how much the bar rises with the share of points that show a feature
-BLOCK = 384  # points handled as one matrix
+BLOCK = 384  # point numbers that a block spans, at least; under twice as many at most
 
 
 def median_of_nine(x: np.ndarray) -> np.ndarray:
@@ -165,30 +165,26 @@ class _Source:
     """The points of one source inside one task, in order; repeated points count once."""
 
     def __init__(self, name: str):
-        self.name, self.pts, self.ys, self.nulls, self.limit = name, [], [], [], np.inf
+        self.name, self.pts, self.ys, self.nulls, self.limit, self.block = name, [], [], [], np.inf, -1
         self.tail: tuple[list, list] = ([], [])
         self.first_points: list = []
         self.total = 0
         self.width = None
 
-    def add(self, pt: np.ndarray, y: np.ndarray, null: np.ndarray, limit: float) -> Iterator[pa.RecordBatch]:
-        self.limit = limit
-        last = self.pts[-1][-1] if self.pts else (self.tail[0][-1] if self.tail[0] else None)
-        keep = np.concatenate([[last is None or pt[0] != last], pt[1:] != pt[:-1]])
-        self.pts.append(pt[keep])
-        self.ys.append(y[keep])
-        self.nulls.append(null[keep])
-        if not len(self.pts[-1]):
-            self.pts.pop(), self.ys.pop(), self.nulls.pop()
-        elif sum(map(len, self.pts)) >= 2 * BLOCK:
+    def add(self, pt: np.ndarray, y: np.ndarray, null: np.ndarray, limit: float, block: int) -> Iterator[pa.RecordBatch]:
+        if self.pts and block != self.block:
             yield from self.flush(False)
+        self.limit, self.block = limit, block
+        last = self.pts[-1][-1] if self.pts else None
+        keep = np.concatenate([[last is None or pt[0] != last], pt[1:] != pt[:-1]])
+        if keep.any():
+            self.pts.append(pt[keep])
+            self.ys.append(y[keep])
+            self.nulls.append(null[keep])
 
     def flush(self, end: bool) -> Iterator[pa.RecordBatch]:
         if self.pts:
-            pt, y, null = np.concatenate(self.pts), np.concatenate(self.ys), np.concatenate(self.nulls)
-            blocks = max(1, len(pt) // BLOCK)
-            for part in np.array_split(np.arange(len(pt)), blocks):
-                yield from self._block(pt[part], y[part], null[part])
+            yield from self._block(np.concatenate(self.pts), np.concatenate(self.ys), np.concatenate(self.nulls))
             self.pts, self.ys, self.nulls = [], [], []
         if end:
             # the last points of the source here; with the first ones they meet those of the other tasks
@@ -233,12 +229,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pts = batch.column(1).to_numpy(zero_copy_only=False)
         column = batch.column(2)
         limits = batch.column(3).to_numpy(zero_copy_only=False)
+        block = batch.column(4).to_numpy(zero_copy_only=False)
         lengths = np.diff(column.offsets.to_numpy())
         flat = column.flatten()
         values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
         missing = flat.is_null().to_numpy(zero_copy_only=False)
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        cut_at = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1] or lengths[i] != lengths[i - 1]] + [len(names)]
+        cut_at = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1] or lengths[i] != lengths[i - 1] or block[i] != block[i - 1]] + [len(names)]
         for a, b in zip(cut_at[:-1], cut_at[1:]):
             if a == b or not lengths[a]:
                 continue
@@ -251,7 +248,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = values[starts[a] : starts[b]].reshape(-1, width)
             null = missing[starts[a] : starts[b]].reshape(-1, width)
             limit = limits[a]
-            yield from now.add(pts[a:b], y, null, np.inf if limit is None or np.isnan(limit) else float(limit))
+            yield from now.add(pts[a:b], y, null, np.inf if limit is None or np.isnan(limit) else float(limit), int(block[a]))
     if now is not None:
         yield from now.flush(True)
 
@@ -288,12 +285,15 @@ def implausible_readings(images: DataFrame, manifest: DataFrame, instruments: Da
     acquisition's.
     """
     points = images.where("acq_id IS NOT NULL AND pt IS NOT NULL AND size(intensities) > 0").select("acq_id", "pt", F.col("intensities").cast("array<double>").alias("y"))
-    limits = manifest.join(F.broadcast(instruments.where("instrument IS NOT NULL")), "instrument").groupBy("acq_id").agg(F.min("detector_max").alias("detector_max"))
-    limits = limits.join(images.select("acq_id").distinct(), "acq_id", "left_semi")
-    if limits.limit(max_broadcast + 1).count() <= max_broadcast:
-        limits = F.broadcast(limits)
-    points = points.join(limits, "acq_id", "left").select("acq_id", "pt", "y", F.col("detector_max").cast("double"))
-    found = points.repartitionByRange("acq_id", "pt").sortWithinPartitions("acq_id", "pt").mapInArrow(_walk, _SCHEMA)
+    limits = manifest.join(broadcast_if_small(instruments.where("instrument IS NOT NULL"), max_broadcast), "instrument").groupBy("acq_id").agg(F.min("detector_max").cast("double").alias("detector_max"))
+    extent = images.where("acq_id IS NOT NULL AND pt IS NOT NULL").groupBy("acq_id").agg(F.min("pt").cast("long").alias("first"), (F.max("pt").cast("long") - F.min("pt").cast("long") + 1).alias("span"))
+    facts = broadcast_if_small(cut(extent.join(limits, "acq_id", "left")), max_broadcast)
+    points = points.join(facts, "acq_id")
+    # equal stretches of point numbers; repeated points lie side by side and the first by hash counts
+    blocks = F.greatest(F.lit(1), F.floor(F.col("span") / BLOCK))
+    block = F.least(blocks - 1, F.floor((F.col("pt") - F.col("first")) * blocks / F.col("span"))).cast("long")
+    points = points.select("acq_id", "pt", "y", "detector_max", block.alias("block"))
+    found = points.repartitionByRange("acq_id", "block").sortWithinPartitions("acq_id", "block", "pt", F.xxhash64("y")).mapInArrow(_walk, _SCHEMA)
     found = cut(found)
     blocks = found.where("row = 3")
     stats = blocks.groupBy("source").agg((F.sum(F.col("noise") * F.col("n")) / F.sum("n")).alias("sd"), F.sum("n").alias("points"))

@@ -90,3 +90,28 @@ def test_stuck_lengths(n):
     z = np.random.default_rng(n).normal(size=(3, 20))
     z[1, 4 : 4 + n] = 7.0
     assert R.stuck(z).sum() == (n if n >= 8 else 0)
+
+
+def test_answer_does_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(5)
+    w = np.linspace(1000, 1800, 64)
+    y = 200 + 40 * np.exp(-(((w - 1350) / 40) ** 2)) + rng.normal(0, 2, (1900, 64))
+    for i, k in zip(rng.integers(0, 1900, 60), rng.integers(3, 61, 60)):
+        y[i, k] += rng.choice([-1, 1]) * rng.uniform(15, 40)
+    y[380:392, 20] = 77.0
+    y[1150:1160, 31] = 91.0
+    rows = [("a" if p < 1500 else "b", int(p), v.tolist()) for p, v in enumerate(y)]
+    images = spark.createDataFrame(rows + rows[100:130], "acq_id string, pt int, intensities array<double>")
+    manifest = spark.createDataFrame([("a", "i1"), ("b", None)], "acq_id string, instrument string")
+    instruments = spark.createDataFrame([("i1", 5000.0)], "instrument string, detector_max double")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 3, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({tuple(r) for r in implausible_readings(images, manifest, instruments).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 60 + 22 - 6

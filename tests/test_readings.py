@@ -110,7 +110,7 @@ def test_answer_does_not_depend_on_the_partitioning(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         for n in (1, 3, 16):
             spark.conf.set("spark.sql.shuffle.partitions", str(n))
-            found.append({tuple(r) for r in implausible_readings(images, manifest, instruments).collect()})
+            found.append({tuple(r) for r in R.implausible_readings(images, manifest, instruments).collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)

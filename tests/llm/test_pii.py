@@ -5,8 +5,12 @@ from hypothesis import strategies as st
 from lumenframe.llm import pii as P
 
 
+#: A corpus that also writes these words small.
+MODEL = P.WordModel.of(["adele", "export", "order", "steuer", "tel", "sides", "thanks"], ["North Bench".lower()])
+
+
 def found(text):
-    return {(k, text[a:b]) for a, b, k in P.find_details(text)}
+    return {(k, text[a:b]) for a, b, k in P.find_details(text, MODEL)}
 
 
 CASES = {
@@ -71,3 +75,19 @@ def test_inner_capitals_and_words_of_look_alikes():
     for name in ("Sarah O'Brien", "Sarah McDonald", "Sarah MacLeod", "Sarah DeVito", "Sarah D'Angelo", "Sarah McCoy-O’Neil"):
         assert found(f"thanks to {name}, who wrote it") == {("name", name)}
     assert found("write bob@\u0435\u0445ample.org now") == {("email", "bob@\u0435\u0445ample.org")}
+
+
+def test_names_of_any_kind_by_the_words_of_the_corpus(spark):
+    names = ["Sven Lindqvist", "Kenji Tanaka", "Priya Raman", "Oleksandr Kovalenko", "Henrietta Vosk", "Wangari Maathai", "Nguyen Minh-Chau", "Anna Svensson"]
+    plain = ["the table of the viewer is large and the suite works", "a bench and a desk stand north of the export", "my colleague wrote it, see the viewer"]
+    texts = [f"I asked {n} about the table." for n in names] + plain * 3 + ["We like Vantor Viewer a lot."] * 2 + ["See North Bench for it."] * 25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.kind, r.found_text) for r in P.personal_details(docs).collect()}
+    assert got == {("name", n) for n in names}
+    red = {r.text for r in P.redacted_documents(docs).collect()}
+    assert "I asked [NAME] about the table." in red and "See North Bench for it." in red and not any(n in t for n in names for t in red)
+
+
+def test_word_model_of_nothing(spark):
+    m = P.word_model(spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string"))
+    assert len(m.ordinary) == len(m.phrases) == 0 and not m.knows("a")

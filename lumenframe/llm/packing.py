@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, fixed_rows
 from .tokens import encode_corpus
 
 
@@ -141,7 +141,7 @@ def pack_posts(docs: DataFrame, limits: DataFrame, vocabulary: str | None = None
     a null or non-positive capacity is left out.
     """
     spark = docs.sparkSession
-    plans = [(r["plan_name"], int(r["capacity"])) for r in limits.where("capacity > 0").orderBy("plan_name").limit(1000).collect()]
+    plans = [(r["plan_name"], int(r["capacity"])) for r in fixed_rows(limits.where("capacity > 0").orderBy("plan_name"), 1000)]
     schema = "plan_name string, capacity int, container_id string, doc_id bigint, start int, n_tokens int, ids array<int>"
     if not plans:
         return spark.createDataFrame([], schema)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, fixed_rows
 from .groups import hash_to_min
 
 
@@ -205,7 +205,7 @@ def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame) -> Data
     a component larger than a split's quota moves the portions. An empty plan is an error.
     """
     spark = groups.sparkSession
-    parts = plan.where("split_name IS NOT NULL AND portion > 0").groupBy("split_name").agg(F.max("portion").alias("portion")).orderBy("split_name").limit(1000).collect()
+    parts = fixed_rows(plan.where("split_name IS NOT NULL AND portion > 0").groupBy("split_name").agg(F.max("portion").alias("portion")).orderBy("split_name"), 1000)
     if not parts:
         raise ValueError("the split plan holds no split with a positive portion")
     first = labels.groupBy("acq_id").agg(F.min(F.coalesce("label", F.lit(""))).alias("label"))

@@ -15,6 +15,7 @@ every query of the list reads every block, so no task holds an unbounded group.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..operators.neighbours import expand_copies
+from ..session import cut, fixed_rows
 
 MAX_LISTS = 8192
+LISTS_IN_CELL = 16  # neighbouring lists that are searched in one task
 SAMPLE_ROWS = 60_000
 MAX_SPACES = 1000
 
@@ -51,23 +54,29 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 
 
 def balanced_centroids(sample: np.ndarray, n_lists: int, seed: int = 7) -> np.ndarray:
-    """Split the sample again and again until no cluster holds more than its share; the means of the rest."""
+    """Split the largest cluster of the sample again and again until there are ``n_lists``; the means, neighbours in the tree side by side.
+
+    The largest comes first, so the lists are balanced wherever the splitting ends.
+    """
     rng = np.random.default_rng(seed)
-    share = max(1, int(np.ceil(len(sample) / max(1, n_lists))))
-    todo, out = [np.arange(len(sample))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= share or len(out) + len(todo) + 1 >= MAX_LISTS:
-            out.append(sample[rows].mean(0))
+    share = max(1.0, len(sample) / max(1, n_lists))
+    heap, done = [(-len(sample), (), np.arange(len(sample)))], []
+    while heap and len(heap) + len(done) < n_lists:
+        _, path, rows = heapq.heappop(heap)
+        if len(rows) <= share:
+            done.append((path, rows))
             continue
-        k = int(min(16, max(2, round(len(rows) / share)), len(rows)))
-        lab = _kmeans(sample[rows], k, rng)
+        room = n_lists - len(heap) - len(done)
+        k = int(min(16, room, max(2, round(len(rows) / share)), len(rows)))
+        lab = _kmeans(sample[rows], k, rng) if k > 1 else np.zeros(len(rows), int)
         parts = [rows[lab == j] for j in range(k) if (lab == j).any()]
         if len(parts) < 2:  # equal vectors cannot be parted by distance
-            out.append(sample[rows].mean(0))
+            done.append((path, rows))
         else:
-            todo += parts
-    return np.ascontiguousarray(np.stack(out), dtype=np.float32)
+            for j, p in enumerate(parts):
+                heapq.heappush(heap, (-len(p), (*path, j), p))
+    leaves = sorted(done + [(path, rows) for _, path, rows in heap], key=lambda x: x[0])
+    return np.ascontiguousarray(np.stack([sample[rows].mean(0) for _, rows in leaves]), dtype=np.float32)
 
 
 class CentroidGraph:
@@ -226,64 +235,70 @@ def similar_vectors(units: DataFrame, k: int = 5, list_rows: int = 256, store_ra
                     d, ids = g.search(x, min(probes, len(g.c)), beam)
                     store = _lists_to_store(d, ids, g.c, store_ratio, replicas)
                     probe = (d <= (probe_ratio * probe_ratio) * d[:, :1] + 1e-12) & (ids >= 0) & np.isfinite(d)
-                    for role, mask in ((0, store), (1, probe)):
-                        r, j = np.nonzero(mask)
-                        yield pd.DataFrame({"space": space, "list": ids[r, j].astype(np.int32), "role": np.int8(role), "id": rows["id"].to_numpy()[r], "vec": rows["vec"].to_numpy()[r]})
-
-    placed = cut(reps.select("space", "id", "vec").mapInPandas(place, "space string, list int, role byte, id string, vec binary"))
-    # sizes of the lists: at most MAX_LISTS rows a space, so the table is bounded and may be broadcast
-    size = placed.groupBy("space", "list").agg(F.sum(F.expr("int(role = 0)")).alias("n0"), F.sum(F.expr("int(role = 1)")).alias("n1"))
-    blocks = size.select("space", "list", F.expr(f"int(ceil(n0 / {block_rows}))").alias("b0"), F.expr(f"int(ceil(n1 / {block_rows}))").alias("b1")).where("b0 > 0 AND b1 > 0")
-    at_block = placed.join(F.broadcast(blocks), ["space", "list"])
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("role") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
-    pairs = at_block.select("space", "list", "role", "id", "vec", own.alias("own"), others.alias("other"))
-    pairs = pairs.select("space", "list", "role", "id", "vec", F.expr("if(role = 0, own, other)").alias("sb"), F.expr("if(role = 0, other, own)").alias("qb"))
-
-    def search_list(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, q = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if not len(s) or not len(q):
-            return pd.DataFrame({"id": [], "neighbour": []}, dtype=object).assign(cosine=0.0)
-        sid, qid = s["id"].to_numpy(), q["id"].to_numpy()
-        order = np.argsort(sid, kind="stable")
-        sid = sid[order]
-        sx = np.stack([np.frombuffer(v) for v in s["vec"]])[order]
-        qx = np.stack([np.frombuffer(v) for v in q["vec"]])
-        place_of = {v: i for i, v in enumerate(sid)}
-        a, b, c = [], [], []
-        for at in range(0, len(qx), 512):
-            cos = np.round(qx[at : at + 512] @ sx.T, 12)
-            mine = np.array([place_of.get(v, -1) for v in qid[at : at + 512]])
-            has = np.flatnonzero(mine >= 0)
-            cos[has, mine[has]] = -np.inf
-            if cos.shape[1] > k:
-                least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
-            else:
-                least = np.full(len(cos), -2.0)
-            r, j = np.nonzero((cos >= least[:, None]) & np.isfinite(cos))
-            a.append(qid[at + r])
-            b.append(sid[j])
-            c.append(cos[r, j])
-        return pd.DataFrame({"id": np.concatenate(a), "neighbour": np.concatenate(b), "cosine": np.concatenate(c)})
-
-    found = pairs.groupBy("space", "list", "sb", "qb").applyInPandas(search_list, "id string, neighbour string, cosine double")
+                    # a vector travels once to a cell of neighbouring lists, with the lists it is stored in and those it asks
+                    out = {"r": [], "cell": [], "stored": [], "asked": []}
+                    cells = np.where(store | probe, ids // LISTS_IN_CELL, -1)
+                    for r in range(len(rows)):
+                        for c in np.unique(cells[r][cells[r] >= 0]):
+                            own = cells[r] == c
+                            out["r"].append(r), out["cell"].append(int(c))
+                            out["stored"].append(ids[r][own & store[r]].tolist()), out["asked"].append(ids[r][own & probe[r]].tolist())
+                    yield pd.DataFrame({"space": space, "cell": out["cell"], "stored": out["stored"], "asked": out["asked"], "id": rows["id"].to_numpy()[out["r"]], "vec": rows["vec"].to_numpy()[out["r"]]})
+
+    placed = cut(reps.select("space", "id", "vec").mapInPandas(place, "space string, cell int, stored array<int>, asked array<int>, id string, vec binary"))
+    # sizes of the cells: at most MAX_LISTS / LISTS_IN_CELL rows a space, so the table is bounded and may be broadcast
+    size = placed.groupBy("space", "cell").agg(F.count_if(F.size("stored") > 0).alias("n0"), F.count_if(F.size("asked") > 0).alias("n1"))
+    blocks = size.select("space", "cell", F.expr(f"int(ceil(n0 / {block_rows}))").alias("b0"), F.expr(f"int(ceil(n1 / {block_rows}))").alias("b1")).where("b0 > 0 AND b1 > 0")
+    x = placed.join(F.broadcast(blocks), ["space", "cell"])
+    turn = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    # in a cell of one block either way a row serves both as stored and as asking
+    one = F.array(F.struct(F.lit(2).alias("role"), F.lit(0).alias("sb"), F.lit(0).alias("qb")))
+    kept = F.when(F.size("stored") > 0, F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda q: F.struct(F.lit(0).alias("role"), turn("b0").alias("sb"), q.alias("qb")))).otherwise(F.array().cast("array<struct<role:int,sb:int,qb:int>>"))
+    asks = F.when(F.size("asked") > 0, F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda s: F.struct(F.lit(1).alias("role"), s.alias("sb"), turn("b1").alias("qb")))).otherwise(F.array().cast("array<struct<role:int,sb:int,qb:int>>"))
+    x = x.withColumn("t", F.explode(F.when((F.col("b0") == 1) & (F.col("b1") == 1), one).otherwise(F.concat(kept, asks))))
+    pairs = x.select("space", "cell", F.col("t.sb").alias("sb"), F.col("t.qb").alias("qb"), F.col("t.role").alias("role"), "stored", "asked", "id", "vec")
+
+    def search_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        role = pdf["role"].to_numpy()
+        order = np.argsort(pdf["id"].to_numpy(dtype=object), kind="stable")
+        pdf, role = pdf.iloc[order], role[order]
+        ids = pdf["id"].to_numpy(dtype=object)
+        unit = np.stack([np.frombuffer(v) for v in pdf["vec"]])
+        held = {"stored": {}, "asked": {}}
+        for r, (kind, s, q) in enumerate(zip(role, pdf["stored"], pdf["asked"])):
+            for c in s if kind != 1 else ():
+                held["stored"].setdefault(int(c), []).append(r)
+            for c in q if kind != 0 else ():
+                held["asked"].setdefault(int(c), []).append(r)
+        a, b, c = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for lst, asking in held["asked"].items():
+            own = np.array(held["stored"].get(lst, []), int)
+            for at in range(0, len(asking) if len(own) else 0, 512):
+                q = np.array(asking[at : at + 512])
+                cos = np.round(unit[q] @ unit[own].T, 12)
+                cos[ids[q][:, None] == ids[own][None, :]] = -np.inf
+                least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k] if cos.shape[1] > k else np.full(len(q), -2.0)
+                r, j = np.nonzero((cos >= least[:, None]) & np.isfinite(cos))
+                a.append(q[r]), b.append(own[j]), c.append(cos[r, j])
+        a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
+        # a query's lists overlap: each neighbour once, and nothing behind the k-th and its ties
+        first = np.unique(a * np.int64(len(ids)) + b, return_index=True)[1]
+        a, b, c = a[first], b[first], c[first]
+        by = np.lexsort((-c, a))
+        a, b, c = a[by], b[by], c[by]
+        start = np.searchsorted(a, a)
+        kth = np.minimum(start + k - 1, np.searchsorted(a, a, "right") - 1)
+        keep = c >= c[kth] if len(a) else np.zeros(0, bool)
+        return pd.DataFrame({"id": ids[a[keep]], "neighbour": ids[b[keep]], "cosine": c[keep]})
+
+    found = pairs.groupBy("space", "cell", "sb", "qb").applyInPandas(search_cell, "id string, neighbour string, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     found = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
 
     # copies: a group's list is its own first members at cosine 1, then the first members of the groups found
-    named = firsts.select("space", "key", "id", "n")
-    rep_of = named.where("n = 1").select("space", "key", F.col("id").alias("rep"))
-    few = named.join(rep_of, ["space", "key"]).select("rep", F.col("id").alias("member"))
-    near = found.select(F.col("id").alias("own"), F.col("neighbour").alias("rep"), "cosine").join(few, "rep").select("own", "member", "cosine")
-    near = near.unionByName(few.select(F.col("rep").alias("own"), "member", F.lit(1.0).alias("cosine")))
-    order = Window.partitionBy("own").orderBy(F.desc("cosine"), "member")
-    near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    lists = near.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("r", "member", "cosine"))).alias("near"))
-    lists = lists.join(rep_of, F.col("own") == F.col("rep")).select("space", "key", "near")
-    out = units.select("space", "key", "id").join(lists, ["space", "key"])
-    out = out.select("id", F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k).alias("near"))
-    out = out.select("id", F.posexplode("near").alias("p", "x"))
-    return out.select("id", (F.col("p") + 1).alias("rank"), F.col("x.member").alias("neighbour"), F.col("x.cosine").alias("cosine"))
+    named = found.join(reps.select("space", "id"), "id").select("space", "id", "neighbour", "cosine")
+    out = expand_copies(units.select("space", "key", "id"), firsts.select("space", "key", "id", "n"), named, k)
+    return out.select("id", F.col("rank"), "neighbour", "cosine")
 
 
 def record_vectors(records: DataFrame, scales: DataFrame) -> DataFrame:
@@ -294,7 +309,7 @@ def record_vectors(records: DataFrame, scales: DataFrame) -> DataFrame:
     acquisition is compared by spectrum. The feature vector follows the names of ``scales`` (a table
     of fixed size, collected) in order; absent, null and NaN values count as 0.
     """
-    names = sorted((r["feature"], r["centre"], r["spread"]) for r in scales.select("feature", "centre", "spread").limit(10_000).collect())
+    names = sorted((r["feature"], r["centre"], r["spread"]) for r in fixed_rows(scales.select("feature", "centre", "spread"), 10_000))
     s, w = F.col("mean_spectrum"), F.col("wavenumber")
     sound = F.forall(s, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(s.isNotNull() & w.isNotNull() & (F.size(s) > 0) & (F.size(s) == F.size(w)) & sound, F.lit(False))

@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity with posts, by pattern packing with non-negative least squares.
 
 Only the histogram of lengths (at most ``capacity`` rows) comes to the driver. There, patterns of up
-to three lengths that nearly fill a container are enumerated, their repeat counts are fitted to the
-histogram by non-negative least squares and rounded, and what is left is packed longest first
+to three sizes that nearly fill a container are enumerated, their repeat counts are fitted to the
+histogram by non-negative least squares and rounded; a size is a length or a bundle of short
+lengths that was made the same way for a smaller container. What is left is packed longest first
 into the tightest gap, still on the histogram. The plan is then a short table (length to ranges
 of containers), and Spark deals the posts of each length out over it by their rank, so no post
 passes through the driver.
@@ -22,6 +23,12 @@ from ..session import cut, fixed_rows
 from .tokens import encode_corpus
 
 
+MAX_SIZES = 384  # sizes that one fit handles
+FITS = 4  # fits of one container size
+TOLERANCE = 0.03  # part of a bundle, and a tenth of it of a container, that a pattern may leave empty
+KEPT_BACK = 0.3  # part of each short size that is not bundled
+
+
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Rows (a, b, c), a >= b >= c, of indices into the ascending ``lengths`` (-1: none): for each a and b the longest c that fits."""
     n = len(lengths)
@@ -65,34 +72,113 @@ def fit_counts(pat: np.ndarray, hist: np.ndarray, waste: np.ndarray, rounds: int
     return x
 
 
+Stock = dict[int, list[list]]  # size -> [content, how many]
+
+
+def _put(stock: Stock, size: int, content: dict[int, int], n: int) -> None:
+    if n > 0:
+        stock.setdefault(size, []).append([content, n])
+
+
+def _take(stock: Stock, sizes: list[int], n: int) -> list[tuple[dict[int, int], int]]:
+    """Take n times one of each of ``sizes``; what they hold together, as (content, how many times)."""
+    lanes = []
+    for s in sizes:
+        lane, left = [], n
+        while left:
+            content, have = stock[s][-1]
+            use = min(have, left)
+            lane.append([content, use])
+            left -= use
+            if use == have:
+                stock[s].pop()
+            else:
+                stock[s][-1][1] = have - use
+        if not stock[s]:
+            del stock[s]
+        lanes.append(lane)
+    out = []
+    while lanes[0]:
+        m = min(lane[0][1] for lane in lanes)
+        content: dict[int, int] = {}
+        for lane in lanes:
+            for length, c in lane[0][0].items():
+                content[length] = content.get(length, 0) + c
+            lane[0][1] -= m
+            if not lane[0][1]:
+                lane.pop(0)
+        out.append((content, m))
+    return out
+
+
+def _fill_by_patterns(stock: Stock, target: int, keep: float, tolerance: float) -> list[tuple[int, dict[int, int], int]]:
+    """Fill containers of ``target`` from the stock by fitted patterns of up to three sizes: (total, content, repeats).
+
+    The sizes that hold most tokens take part (at most ``MAX_SIZES``, so the table of patterns is bounded at any capacity), each with all but the share ``keep`` of its pieces.
+    The fit is repeated on what rounding left until it places next to nothing more.
+    """
+    out = []
+    for _ in range(FITS):
+        held = {s: int(sum(n for _, n in stock[s]) * (1 - keep)) for s in stock if s <= target}
+        some = sorted(sorted((s for s in held if held[s] > 0), key=lambda s: -s * held[s])[:MAX_SIZES])
+        if not some:
+            break
+        lengths = np.array(some)
+        counts = np.array([held[s] for s in some], float)
+        pat = patterns(lengths, target)
+        total = np.where(pat >= 0, lengths[pat], 0).sum(1)
+        near = (target - total) / target <= tolerance
+        pat, total = pat[near], total[near]
+        if not len(pat):
+            break
+        x = fit_counts(pat, counts, (target - total) / target)
+        placed = 0
+        for p in np.argsort(-x, kind="stable"):
+            sizes = [int(lengths[i]) for i in pat[p] if i >= 0]
+            r = min([int(np.floor(x[p] + 0.9))] + [held[s] // sizes.count(s) for s in set(sizes)])
+            if r < 1:
+                if x[p] < 0.1:
+                    break
+                continue
+            for s in sizes:
+                held[s] -= r
+            placed += r * int(total[p])
+            out += [(int(total[p]), content, m) for content, m in _take(stock, sizes, r)]
+        if placed < 0.02 * float(lengths @ counts):
+            break
+    return out
+
+
 def plan_containers(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Groups of equal containers ({length: how many}, repeats) that place every length of ``hist`` as often as it occurs."""
-    left = {int(s): int(c) for s, c in hist.items() if 0 < s <= capacity and c > 0}
-    if not left:
-        return []
-    lengths = np.array(sorted(left))
-    counts = np.array([left[s] for s in lengths], float)
-    pat = patterns(lengths, capacity)
-    total = np.where(pat >= 0, lengths[pat], 0).sum(1)
-    waste = (capacity - total) / capacity
-    few = waste <= 0.05
-    pat, waste = pat[few], waste[few]
-    groups: list[tuple[int, dict[int, int], int]] = []  # gap, content, repeats
-    if len(pat):
-        x = np.floor(fit_counts(pat, counts, waste) + 0.1).astype(int)
-        for p in np.argsort(-x, kind="stable"):
-            if x[p] < 1:
-                break
-            content: dict[int, int] = {}
-            for i in pat[p]:
-                if i >= 0:
-                    s = int(lengths[i])
-                    content[s] = content.get(s, 0) + 1
-            r = min([int(x[p])] + [left[s] // m for s, m in content.items()])
-            if r > 0:
-                for s, m in content.items():
-                    left[s] -= r * m
-                groups.append((capacity - sum(s * m for s, m in content.items()), content, r))
+    return pack_histogram(hist, capacity)[0]
+
+
+def pack_histogram(hist: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(containers, tokens placed by patterns): the plan of ``plan_containers`` and how much of it the fitted patterns fill.
+
+    Short lengths are first bundled, by patterns for a third of a third ... of the capacity, so that a pattern of three may stand for many posts; a
+    part of the short ones is kept back for the gaps. What no pattern takes is packed longest first into the tightest gap.
+    """
+    stock: Stock = {}
+    for s, c in hist.items():
+        if 0 < s <= capacity and c > 0:
+            _put(stock, int(s), {int(s): 1}, int(c))
+    if not stock:
+        return [], 0
+    targets = [capacity]
+    while targets[0] // 3 >= 3 * min(stock) and targets[0] // 3 >= 24:
+        targets.insert(0, targets[0] // 3)
+    for t in targets[:-1]:
+        for total, content, r in _fill_by_patterns(stock, t, KEPT_BACK, TOLERANCE):
+            _put(stock, total, content, r)
+    groups = [(capacity - total, content, r) for total, content, r in _fill_by_patterns(stock, capacity, 0.0, TOLERANCE / 10)]
+    by_patterns = sum((capacity - gap) * r for gap, _, r in groups)
+    left: dict[int, int] = {}
+    for pieces in stock.values():
+        for content, n in pieces:
+            for length, c in content.items():
+                left[length] = left.get(length, 0) + c * n
     # the rest: longest first, each into the tightest gap that holds it
     gaps: dict[int, list[tuple[dict[int, int], int]]] = {}
     for gap, content, r in groups:
@@ -112,24 +198,38 @@ def plan_containers(hist: dict[int, int], capacity: int) -> list[tuple[dict[int,
                     known.pop(at)
             m = min(gap // s, c)
             use = min(r, c // m)
-            if use < r:
+            rest = gap - m * s
+            if use < r and content:
                 if gap not in gaps:
                     gaps[gap] = []
                     bisect.insort(known, gap)
-                if content:
-                    gaps[gap].append((content, r - use))
-                if not gaps[gap]:
-                    del gaps[gap]
-                    known.remove(gap)
+                gaps[gap].append((content, r - use))
             new = dict(content)
             new[s] = new.get(s, 0) + m
-            g = gap - m * s
-            if g not in gaps:
-                gaps[g] = []
-                bisect.insort(known, g)
-            gaps[g].append((new, use))
+            if rest not in gaps:
+                gaps[rest] = []
+                bisect.insort(known, rest)
+            gaps[rest].append((new, use))
             c -= use * m
-    return [(content, r) for gap in sorted(gaps) for content, r in gaps[gap]]
+    return [(content, r) for gap in sorted(gaps) for content, r in gaps[gap]], by_patterns
+
+
+def fit_report(docs: DataFrame, limits: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(plan_name, capacity, tokens, containers, least, by_patterns) of the posts' parts below each capacity.
+
+    ``least`` is the number of containers that no packing can go below, ``by_patterns`` the share of the tokens that fitted patterns place.
+    """
+    spark = docs.sparkSession
+    plans = [(r["plan_name"], int(r["capacity"])) for r in fixed_rows(limits.where("capacity > 0").orderBy("plan_name"), 1000)]
+    sizes = cut(encode_corpus(docs, vocabulary).select(F.size("ids").alias("n")).where("n > 0").groupBy("n").agg(F.count("*").alias("c")))
+    rows = []
+    for name, cap in plans:
+        rest = sizes.select((F.col("n") % cap).cast("int").alias("s"), "c").where("s > 0").groupBy("s").agg(F.sum("c").alias("c")).collect()  # under ``cap`` rows
+        hist = {r["s"]: r["c"] for r in rest}
+        tokens = sum(s * c for s, c in hist.items())
+        boxes, placed = pack_histogram(hist, cap)
+        rows.append((name, cap, tokens, sum(r for _, r in boxes), -(-tokens // cap), placed / max(tokens, 1)))
+    return spark.createDataFrame(rows, "plan_name string, capacity int, tokens long, containers long, least long, by_patterns double")
 
 
 def pack_posts(docs: DataFrame, limits: DataFrame, vocabulary: str | None = None) -> DataFrame:

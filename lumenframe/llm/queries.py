@@ -51,6 +51,11 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_posts(table(spark, d, "documents"), table(spark, d, "pack_limits"))
 
 
+def p7_fit(spark: SparkSession, d: str) -> DataFrame:
+    """How near each plan comes to the least number of containers, and what the fitted patterns place of it."""
+    return packing.fit_report(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_details(table(spark, d, "documents"))
 
@@ -60,7 +65,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_splits, p6_ids, p6_appended, p7_packed, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_splits, p6_ids, p6_appended, p7_packed, p7_fit, p8_found, p8_redacted)}
 
 
 _P1 = """

@@ -2,6 +2,7 @@ import base64
 import os
 from collections import Counter
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -96,3 +97,20 @@ def test_posts_are_packed_whole(spark, pair):
         assert sum((r.ids for r in long), []) == pair[1].encode_ordinary(words(33))
         assert all(len([r for r in rows if r.doc_id == d]) == 1 for d in (0, 1, 2, 3))
     assert P.pack_posts(docs.limit(0), limits).count() == 0 and P.pack_posts(docs, limits.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [64, 512, 2048, 32768])
+def test_patterns_place_most_tokens_and_nothing_is_lost(capacity):
+    import collections
+
+    rng = np.random.default_rng(capacity)
+    hist = collections.Counter(int(v) for v in np.clip(rng.lognormal(np.log(capacity / 16), 0.9, 40_000), 1, capacity - 1))
+    boxes, placed = P.pack_histogram(hist, capacity)
+    used, total = collections.Counter(), sum(s * c for s, c in hist.items())
+    for content, r in boxes:
+        assert r > 0 and sum(s * m for s, m in content.items()) <= capacity
+        for s, m in content.items():
+            used[s] += m * r
+    assert used == hist and placed > 0.5 * total
+    assert sum(r for _, r in boxes) <= 1.01 * -(-total // capacity) + 1
+    assert P.pack_histogram({}, capacity) == ([], 0)

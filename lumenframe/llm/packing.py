@@ -111,15 +111,16 @@ def _take(stock: Stock, sizes: list[int], n: int) -> list[tuple[dict[int, int],
     return out
 
 
-def _fill_by_patterns(stock: Stock, target: int, keep: float, tolerance: float) -> list[tuple[int, dict[int, int], int]]:
+def _fill_by_patterns(stock: Stock, target: int, keep: float, tolerance: float, slack: int) -> list[tuple[int, dict[int, int], int]]:
     """Fill containers of ``target`` from the stock by fitted patterns of up to three sizes: (total, content, repeats).
 
     The sizes that hold most tokens take part (at most ``MAX_SIZES``, so the table of patterns is bounded at any capacity), each with all but the share ``keep`` of its pieces.
     The fit is repeated on what rounding left until it places next to nothing more.
     """
     out = []
+    reserve = {s: int(np.ceil(sum(n for _, n in pieces) * keep)) for s, pieces in stock.items()}
     for _ in range(FITS):
-        held = {s: int(sum(n for _, n in stock[s]) * (1 - keep)) for s in stock if s <= target}
+        held = {s: sum(n for _, n in stock[s]) - reserve.get(s, 0) for s in stock if s <= target}
         some = sorted(sorted((s for s in held if held[s] > 0), key=lambda s: -s * held[s])[:MAX_SIZES])
         if not some:
             break
@@ -127,7 +128,7 @@ def _fill_by_patterns(stock: Stock, target: int, keep: float, tolerance: float)
         counts = np.array([held[s] for s in some], float)
         pat = patterns(lengths, target)
         total = np.where(pat >= 0, lengths[pat], 0).sum(1)
-        near = (target - total) / target <= tolerance
+        near = target - total <= max(tolerance * target, slack)
         pat, total = pat[near], total[near]
         if not len(pat):
             break
@@ -155,6 +156,16 @@ def plan_containers(hist: dict[int, int], capacity: int) -> list[tuple[dict[int,
 
 
 def pack_histogram(hist: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(containers, tokens placed by patterns) of the better of two plans: the fewer containers, then the more tokens by patterns.
+
+    The plans differ in how a third of a container is rounded: down, so that three leave up to 2 tokens empty, or up, so that
+    they meet a smaller one.
+    """
+    plans = [_packed(hist, capacity, up) for up in (False, True)]
+    return min(plans, key=lambda p: (sum(r for _, r in p[0]), -p[1]))
+
+
+def _packed(hist: dict[int, int], capacity: int, up: bool) -> tuple[list[tuple[dict[int, int], int]], int]:
     """(containers, tokens placed by patterns): the plan of ``plan_containers`` and how much of it the fitted patterns fill.
 
     Short lengths are first bundled, by patterns for a third of a third ... of the capacity, so that a pattern of three may stand for many posts; a
@@ -167,12 +178,14 @@ def pack_histogram(hist: dict[int, int], capacity: int) -> tuple[list[tuple[dict
     if not stock:
         return [], 0
     targets = [capacity]
-    while targets[0] // 3 >= 3 * min(stock) and targets[0] // 3 >= 24:
-        targets.insert(0, targets[0] // 3)
+    mean = sum(s * n for s, pieces in stock.items() for _, n in pieces) / sum(n for pieces in stock.values() for _, n in pieces)
+    third = lambda t: -(-t // 3) if up else t // 3
+    while third(targets[0]) >= max(0.5 * mean, 6):
+        targets.insert(0, third(targets[0]))
     for t in targets[:-1]:
-        for total, content, r in _fill_by_patterns(stock, t, KEPT_BACK, TOLERANCE):
+        for total, content, r in _fill_by_patterns(stock, t, KEPT_BACK, TOLERANCE, 0 if up else 2):
             _put(stock, total, content, r)
-    groups = [(capacity - total, content, r) for total, content, r in _fill_by_patterns(stock, capacity, 0.0, TOLERANCE / 10)]
+    groups = [(capacity - total, content, r) for total, content, r in _fill_by_patterns(stock, capacity, 0.0, TOLERANCE / 10, 0 if up else 2)]
     by_patterns = sum((capacity - gap) * r for gap, _, r in groups)
     left: dict[int, int] = {}
     for pieces in stock.values():

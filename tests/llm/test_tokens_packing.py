@@ -112,6 +112,6 @@ def test_patterns_place_most_tokens_and_nothing_is_lost(capacity):
         for s, m in content.items():
             used[s] += m * r
     assert used == hist
-    assert placed > (0.5 if capacity < 10_000 else 0.1) * total  # a wide range of lengths has few posts for each
+    assert placed > (0.3 if capacity < 10_000 else 0.1) * total  # a wide range of lengths has few posts for each
     assert sum(r for _, r in boxes) <= 1.01 * -(-total // capacity) + 1
     assert P.pack_histogram({}, capacity) == ([], 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.readings import implausible_readings
 from ..session import table
-from ..sources.rejects import bad_lines, load_lines
+from ..sources.rejects import bad_lines, load_lines, settled_counts
 from .registry import query
 
 
@@ -23,4 +23,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_loaded")
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The valid lines as typed rows."""
-    return load_lines(table(spark, d, "raw_lines"), table(spark, d, "raw_files")).where("reason IS NULL").drop("reason")
+    return load_lines(table(spark, d, "raw_lines"), table(spark, d, "raw_files")).where("reason IS NULL").drop("reason", "settled")
+
+
+@query("p5_settled")
+def p5_settled(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines the reader settled, and how many only the rules could."""
+    return settled_counts(load_lines(table(spark, d, "raw_lines"), table(spark, d, "raw_files")))

@@ -238,3 +238,51 @@ def bh_adjust(spark, d):
 def signed_rank(spark, d):
     x = man(spark, d).where("instrument IS NOT NULL AND acq_id IS NOT NULL").groupBy("instrument", "acq_id").agg((F.max("feat_dg_ratio") - F.max("feat_disorder_median")).alias("d"))
     return L.signed_rank(x, "instrument").select("instrument", "n", F.round(F.col("w").cast("double"), 4).alias("w"))
+
+
+@query("kind_list_p31", "SELECT DISTINCT acq_id FROM manifest WHERE kind = 'raw_map' AND acq_id IS NOT NULL")
+def kind_list(spark, d):
+    """The acquisitions of one kind."""
+    return man(spark, d).where("kind = 'raw_map' AND acq_id IS NOT NULL").select("acq_id").distinct()
+
+
+@query("array_lookup_s18", "WITH i AS (SELECT acq_id, count(DISTINCT pt) n FROM spectral_images WHERE acq_id IS NOT NULL AND pt IS NOT NULL GROUP BY acq_id), r AS (SELECT acq_id, max(len(mean_spectrum)) k FROM records WHERE acq_id IS NOT NULL GROUP BY acq_id), m AS (SELECT acq_id, max((kind = 'raw_map')::INT) g FROM manifest WHERE acq_id IS NOT NULL GROUP BY acq_id) SELECT acq_id, CASE WHEN g = 1 AND n IS NOT NULL THEN 'cube' WHEN k IS NOT NULL THEN 'mean_spectrum' ELSE 'none' END what, CASE WHEN g = 1 AND n IS NOT NULL THEN n ELSE k END::BIGINT size FROM m LEFT JOIN i USING (acq_id) LEFT JOIN r USING (acq_id)")
+def array_lookup(spark, d):
+    """What loading each acquisition gives: the cube of a raw map (with its spectra), else the mean spectrum (its channels), else nothing."""
+    i = table(spark, d, "spectral_images").where("acq_id IS NOT NULL AND pt IS NOT NULL").groupBy("acq_id").agg(F.countDistinct("pt").alias("n"))
+    r = table(spark, d, "records").where("acq_id IS NOT NULL AND mean_spectrum IS NOT NULL").groupBy("acq_id").agg(F.max(F.size("mean_spectrum")).cast("long").alias("k"))
+    m = man(spark, d).where("acq_id IS NOT NULL").groupBy("acq_id").agg(F.coalesce(F.max(F.col("kind") == "raw_map"), F.lit(False)).alias("g"))
+    cube = F.col("g") & F.col("n").isNotNull()
+    return m.join(i, "acq_id", "left").join(r, "acq_id", "left").select("acq_id", F.when(cube, "cube").when(F.col("k").isNotNull(), "mean_spectrum").otherwise("none").alias("what"), F.when(cube, F.col("n")).otherwise(F.col("k")).alias("size"))
+
+
+@query("corpus_summary_a35", "WITH k AS (SELECT coalesce(kind, 'none') k, count(*) n FROM manifest GROUP BY 1), s AS (SELECT 'rows' what, '' name, count(*) n FROM manifest UNION ALL SELECT 'acquisitions', '', count(DISTINCT acq_id) FROM manifest UNION ALL SELECT 'specimens', '', count(DISTINCT specimen) FROM manifest UNION ALL SELECT 'configs', '', count(DISTINCT config) FROM manifest UNION ALL SELECT 'read as', 'labspec6', count(*) FROM manifest WHERE source_format = 'labspec6' UNION ALL SELECT 'kind', k, n FROM k) SELECT what, name, n::BIGINT n FROM s")
+def corpus_summary(spark, d):
+    """The corpus in counts: rows, acquisitions, codes, kinds and the binaries that were read."""
+    m = man(spark, d)
+    one = m.agg(F.count("*").alias("rows"), F.countDistinct("acq_id").alias("acquisitions"), F.countDistinct("specimen").alias("specimens"), F.countDistinct("config").alias("configs"), F.count_if(F.col("source_format") == "labspec6").alias("l6"))
+    names = {"rows": ("rows", ""), "acquisitions": ("acquisitions", ""), "specimens": ("specimens", ""), "configs": ("configs", ""), "l6": ("read as", "labspec6")}
+    flat = one.select(F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.lit(n).alias("name"), F.col(c).alias("n")) for c, (w, n) in names.items()])).alias("x")).select("x.*")
+    return flat.unionByName(m.groupBy(F.coalesce("kind", F.lit("none")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("kind").alias("what"), "name", "n"))
+
+
+@query("smallest_maps_t02", "WITH x AS (SELECT acq_id, max(n_points) n_points FROM manifest WHERE kind = 'raw_map' AND acq_id IS NOT NULL AND n_points IS NOT NULL GROUP BY acq_id) SELECT * FROM x ORDER BY n_points, acq_id LIMIT 8")
+def smallest_maps(spark, d):
+    x = man(spark, d).where("kind = 'raw_map' AND acq_id IS NOT NULL AND n_points IS NOT NULL").groupBy("acq_id").agg(F.max("n_points").alias("n_points"))
+    return x.orderBy("n_points", "acq_id").limit(8)
+
+
+@query("disorder_picks_t08", "WITH x AS (SELECT acq_id, min(feat_disorder_median) v FROM manifest WHERE acq_id IS NOT NULL AND feat_disorder_median IS NOT NULL GROUP BY acq_id), r AS (SELECT *, row_number() OVER (ORDER BY v, acq_id) k, count(*) OVER () n FROM x) SELECT CASE k WHEN 1 THEN 'lowest' WHEN n THEN 'highest' ELSE 'median' END pick, acq_id, round(v, 6) v FROM r WHERE k IN (1, n, n // 2 + 1)")
+def disorder_picks(spark, d):
+    """The acquisitions of lowest, middle and highest disorder."""
+    x = man(spark, d).where("acq_id IS NOT NULL AND feat_disorder_median IS NOT NULL").groupBy("acq_id").agg(F.min("feat_disorder_median").alias("v"))
+    r = ranked(x, [], [F.col("v").asc(), F.col("acq_id").asc()], "k").where("k = 1 OR k = k_of OR k = k_of div 2 + 1")
+    return r.select(F.when(F.col("k") == 1, "lowest").when(F.col("k") == F.col("k_of"), "highest").otherwise("median").alias("pick"), "acq_id", F.round("v", 6).alias("v"))
+
+
+@query("primitive_budget_m20", "WITH x AS (SELECT acq_id, max(coalesce(n_points, 0)) * 26 voxels FROM manifest WHERE acq_id IS NOT NULL GROUP BY acq_id) SELECT acq_id, greatest(600, least(2600, round_even(12 * voxels / 1000.0, 0)))::BIGINT budget, floor(1.5 * greatest(600, least(2600, round_even(12 * voxels / 1000.0, 0))))::BIGINT most FROM x")
+def primitive_budget(spark, d):
+    """How many primitives a map's field starts with, by its training voxels, and how far it may grow."""
+    x = man(spark, d).where("acq_id IS NOT NULL").groupBy("acq_id").agg((F.max(F.coalesce("n_points", F.lit(0))) * 26).alias("voxels"))
+    b = F.greatest(F.lit(600.0), F.least(F.lit(2600.0), F.bround(12 * F.col("voxels") / 1000.0, 0)))
+    return x.select("acq_id", b.cast("bigint").alias("budget"), F.floor(1.5 * b).cast("bigint").alias("most"))

@@ -185,6 +185,13 @@ def _cleaned(spark, d):
     return cut(protocol("carbon_dg").apply(pts(spark, d)).drop("protocol"))
 
 
+@query("usable_masks_p35")
+def usable_mask_shares(spark, d):
+    """The particle's share of each map and whether it is a usable mask for the corpus (2 to 98 %) and for a fit (3 to 97 %)."""
+    f = cut(M.detect_particles(pts(spark, d)).select("acq_id", "particle"))
+    return usable_masks(f, 0.02).withColumnRenamed("usable", "for_corpus").join(usable_masks(f, 0.03).select("acq_id", F.col("usable").alias("for_fit")), "acq_id")
+
+
 def _fitted(spark, d, history=None):
     vol = G.volume(_cleaned(spark, d), mask=_mask(pts(spark, d)))
     return G.fit(vol, G.seed_field(vol), history=history), vol

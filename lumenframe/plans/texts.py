@@ -55,3 +55,20 @@ def number_format(spark, d):
 def figure_references(spark, d):
     x = table(spark, d, "documents").where(F.col("text").rlike("`[A-Za-z_.-]+`"))
     return x.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("`([A-Za-z_.-]+)`"), F.lit(1)))), " ").alias("names"))
+
+
+@query("key_rows_f04", "WITH t AS (SELECT DISTINCT 'specimen' kind, trim(specimen) token FROM records WHERE trim(specimen) <> '' UNION SELECT DISTINCT 'config', trim(config) FROM records WHERE trim(config) <> '' UNION SELECT DISTINCT 'material', trim(material) FROM records WHERE trim(material) <> '' UNION SELECT DISTINCT 'session', trim(session) FROM records WHERE trim(session) <> '') SELECT kind, token, upper(kind[1]) || lpad(row_number() OVER (PARTITION BY kind ORDER BY try_cast(token AS DECIMAL(38,0)) NULLS LAST, token)::VARCHAR, 6, '0') code FROM t")
+def key_rows(spark, d):
+    """The identity key: every specimen, config, material and session with its code."""
+    r, out = table(spark, d, "records"), None
+    for kind in ("specimen", "config", "material", "session"):
+        one = X.identity_codes(r.select(F.col(kind).alias("token")), kind, kind[0].upper(), 6)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("relative_paths_f08", "SELECT source_rel, count(*)::BIGINT n FROM (SELECT ltrim(replace(source_rel, chr(92), '/'), '/') source_rel FROM manifest WHERE source_rel IS NOT NULL) GROUP BY 1")
+def relative_paths(spark, d):
+    """Paths with forward strokes and without a leading one."""
+    x = table(spark, d, "manifest").where("source_rel IS NOT NULL").select(F.ltrim(F.replace("source_rel", F.lit("\\"), F.lit("/")), F.lit("/")).alias("source_rel"))
+    return x.groupBy("source_rel").agg(F.count("*").alias("n"))

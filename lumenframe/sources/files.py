@@ -9,10 +9,11 @@ with a reason, never an exception.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..operators.ranking import ranked
 from .rejects import split_cells
 
 SKIP = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "ini")
@@ -150,5 +151,14 @@ def read_two_column(lines: DataFrame, kind: str = "spectrum", sep: str = r"[\t ,
 
 
 def read_quick_maps(lines: DataFrame, delim: str = "\t") -> DataFrame:
-    """(path, i, v): rows of a 2-D table without its header row and first column."""
-    return lines.where("line_no > 1 AND trim(raw) <> ''").select("path", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).alias("i"), F.transform(F.slice(cells(F.col("raw"), delim), 2, 1_000_000), lambda x: F.trim(x).try_cast("double")).alias("v"))
+    """(path, i, v): rows of a 2-D table without its header row and first column, cells that are no number null; i counts from 0."""
+    x = _with_cells(lines.where("line_no > 1 AND trim(raw) <> ''"), delim)
+    x = x.select("path", "line_no", F.transform(F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))"), _number).alias("v"))
+    return ranked(x, ["path"], [F.col("line_no").asc()], "n").select("path", (F.col("n") - 1).cast("int").alias("i"), "v")
+
+
+def read_any_map(lines: DataFrame, delim: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """(points, quick): the typed map scan, and of the files it refuses the rows as plain tables with the reason."""
+    points, faults = read_matrix_maps(lines, delim)
+    quick = read_quick_maps(lines.join(faults.select("path"), "path", "left_semi"), delim)
+    return points, quick.join(faults, "path")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,8 +45,37 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, limit: int = 20
             if c not in skip and v is not None:
                 ET.SubElement(parent, "data", key=keys[(what, c)]).text = text(v)
 
-    for r in nodes.limit(limit).collect():
+    points = nodes.limit(limit + 1).collect()
+    if len(points) > limit:
+        raise ValueError(f"more than {limit} nodes: write parquet instead")
+    for r in points:
         put(ET.SubElement(graph, "node", id=r["id"]), "node", r.asDict(), ("id",))
     for r in rows:
         put(ET.SubElement(graph, "edge", source=r["a"], target=r["b"]), "edge", r.asDict(), ("a", "b"))
     ET.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Whole acquisition records with their nested columns, as parquet."""
+    records.write.mode("overwrite").parquet(path)
+
+
+def write_communities(members: DataFrame, path: str) -> None:
+    """CSV of (community, id), sorted by community within each file."""
+    members.select("community", "id").repartitionByRange("community").sortWithinPartitions("community", "id").write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """One JSON object a row: metrics of each map, fit histories, benchmark tables."""
+    metrics.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_metrics(spark: SparkSession, pattern: str) -> DataFrame:
+    """All metrics below a path pattern, with the file each row came from."""
+    return spark.read.json(pattern).withColumn("file", F.input_file_name())
+
+
+def write_macros(values: DataFrame, path: str) -> None:
+    """Text lines that define each (name, value) as a macro, '--' where there is none."""
+    line = F.format_string("\\newcommand{\\%s}{%s}", "name", F.coalesce(F.col("value").cast("string"), F.lit("--")))
+    values.select(line.alias("value")).write.mode("overwrite").text(path)

@@ -38,6 +38,12 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(p3_found(spark, d), labels, table(spark, d, "split_plan"))
 
 
+def p3_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """How far each split of ``p3_splits`` is from its quota of every carbon class, and of all acquisitions (label null)."""
+    labels = table(spark, d, "manifest").select("acq_id", F.col("carbon_class").alias("label"))
+    return splits.quota_errors(p3_splits(spark, d), labels, table(spark, d, "split_plan"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -65,7 +71,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_splits, p6_ids, p6_appended, p7_packed, p7_fit, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_splits, p3_quotas, p6_ids, p6_appended, p7_packed, p7_fit, p8_found, p8_redacted)}
 
 
 _P1 = """

@@ -1,13 +1,13 @@
 """Splits that keep related records together, by min-cost flow over bundles of components.
 
 Records tied through shared keys form components (hash-to-min). Components of the same size and the
-same label profile (how many records of each label) are interchangeable, so they are bundled. Bundles of one
-label number at most sizes x labels (the sizes add up to at most the number of records, so there are at
-most sqrt(2 n) different ones); those of several labels at most their components. On the driver the
-components of several labels are dealt first, largest first, by what each split still lacks of records and of each
-label; then a small transport network (bundles of one label to splits, with a deviation cost for every
-label's remaining quota) is solved and rounded to whole components. The members of each bundle are dealt
-out by the hash order of their group id.
+same label profile (how many records of each label) are interchangeable, so they are bundled; of a bundle every
+split takes its share in whole components, so that only a few components of each bundle are left to decide on. On the driver
+those of several labels are dealt first, largest first, by what each split still lacks of records and of each
+label; a small transport network (octaves of size x labels to splits, with a deviation cost for every
+label's remaining quota) settles the rest and is rounded to whole components. The members of each bundle are dealt
+out by the hash order of their group id. The number of bundles is bounded: beyond it large components
+are bundled by rounded counts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, fixed_rows
+from ..session import broadcast_if_small, cut, fixed_rows
 from .groups import hash_to_min
 
 
@@ -159,19 +159,48 @@ def allocate(bundles: list[tuple[int, Profile, int]], portions: list[float]) ->
     for i, row in zip(mixed, _deal_mixed([flat[i] for i in mixed], share, room, lab_room)):
         whole[i] = row
     pure = [(flat[i][0], flat[i][1][0][0], flat[i][2]) for i in plain]
+    out = [np.zeros(k, int) for _ in pure]
+
+    def give(b: int, due: np.ndarray | float = 0.0) -> None:
+        """One component of the bundle to where it costs least, less what is due there."""
+        s, lab, _ = pure[b]
+        j = int(np.argmin(np.abs(room - s) - np.abs(room) + 0.25 * (np.abs(lab_room[lab] - s) - np.abs(lab_room[lab])) - 0.5 * np.minimum(due, s)))
+        out[b][j] += 1
+        room[j] -= s
+        lab_room[lab][j] -= s
+        if isinstance(due, np.ndarray):
+            due[j] -= s
+
+    # large components first (there are at most two hundred); what they leave is the share of the others
+    large = [b for b, (s, _, _) in enumerate(pure) if s > 0.005 * every]
+    for b in sorted(large, key=lambda b: (-pure[b][0], pure[b][1])):
+        for _ in range(pure[b][2]):
+            give(b)
+    part = np.maximum(room, 0) / np.maximum(room, 0).sum() if (room > 0).any() else np.array(share)
+    # each split takes its share of a bundle in whole components; under one for each split is left of every bundle
+    for b in set(range(len(pure))) - set(large):
+        s, lab, c = pure[b]
+        out[b] = np.floor(c * part + 1e-9).astype(int)
+        room -= out[b] * s
+        lab_room[lab] -= out[b] * s
+    rest = {b: c - int(out[b].sum()) for b, (_, _, c) in enumerate(pure) if c > out[b].sum()}
+    # the flow of what is left runs over classes (octave of the size, label), so the network stays small at any number of bundles
+    kind = {b: (int(pure[b][0]).bit_length(), pure[b][1]) for b in rest}
+    supply: dict[tuple[int, str], int] = {}
+    for b, n in rest.items():
+        supply[kind[b]] = supply.get(kind[b], 0) + int(round(n * pure[b][0]))
+    classes, labels = sorted(supply), sorted({lab for _, lab in supply})
     left = lambda x: max(0, int(round(x)))
-    total = sum(s * c for s, _, c in pure)
-    labels = sorted({lab for _, lab, _ in pure})
-    first_lab, first_split = 1 + len(pure), 1 + len(pure) + len(labels) * k
+    total = sum(supply.values())
+    first_lab, first_split = 1 + len(classes), 1 + len(classes) + len(labels) * k
     sink = first_split + k
-    arcs = []
-    for b, (s, _, c) in enumerate(pure):
-        arcs.append((0, 1 + b, s * c, 0.0))
+    arcs = [(0, 1 + i, supply[c], 0.0) for i, c in enumerate(classes)]
     start = len(arcs)
-    for b, (s, lab, c) in enumerate(pure):
+    for i, (octave, lab) in enumerate(classes):
         for j in range(k):
-            # a component larger than the split's whole quota is dear there
-            arcs.append((1 + b, first_lab + labels.index(lab) * k + j, s * c, 1.0 + s / every if s > share[j] * every else 0.0))
+            # components larger than the split's whole quota are dear there
+            dear = 1.0 + 2.0**octave / every if 2.0 ** (octave - 1) > share[j] * every else 0.0
+            arcs.append((1 + i, first_lab + labels.index(lab) * k + j, supply[(octave, lab)], dear))
     for i, lab in enumerate(labels):
         for j in range(k):
             arcs.append((first_lab + i * k + j, first_split + j, left(lab_room[lab][j]), 0.0))
@@ -179,30 +208,29 @@ def allocate(bundles: list[tuple[int, Profile, int]], portions: list[float]) ->
     for j in range(k):
         arcs.append((first_split + j, sink, left(room[j]), 0.0))
         arcs.append((first_split + j, sink, total, 2.0))
-    flow = _min_cost_flow(sink + 1, arcs, 0, sink, total)
-    out = [[flow[start + b * k + j] // pure[b][0] for j in range(k)] for b in range(len(pure))]
-    for b, (s, lab, _) in enumerate(pure):
-        room -= np.array(out[b], float) * s
-        lab_room[lab] -= np.array(out[b], float) * s
-    for b in sorted(range(len(pure)), key=lambda b: (-pure[b][0], pure[b][1])):
-        s, lab, c = pure[b]
-        for _ in range(c - sum(out[b])):  # at most one for each split
-            cost = [abs(room[j] - s) - abs(room[j]) + 0.25 * (abs(lab_room[lab][j] - s) - abs(lab_room[lab][j])) for j in range(k)]
-            j = int(np.argmin(cost))
-            out[b][j] += 1
-            room[j] -= s
-            lab_room[lab][j] -= s
+    flow = _min_cost_flow(sink + 1, arcs, 0, sink, total) if classes else []
+    due = {c: np.array([flow[start + i * k + j] for j in range(k)], float) for i, c in enumerate(classes)}
+    for b in sorted(rest, key=lambda b: (-pure[b][0], pure[b][1])):
+        for _ in range(rest[b]):  # rounded to whole components: where most of the class's flow is due, unless the quotas speak against it
+            give(b, due[kind[b]])
     for i, row in zip(plain, out):
-        whole[i] = row
+        whole[i] = row.tolist()
     return whole
 
 
-def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame) -> DataFrame:
+def _bundle_key(exact: int, steps: int) -> Column:
+    """What makes components one bundle: their label counts, those above ``exact`` to the nearest of ``steps`` places an octave."""
+    coarse = lambda c: F.when(c <= exact, c.cast("double")).otherwise(F.pow(F.lit(2.0), F.round(F.log2(c) * steps) / steps))
+    return F.to_json(F.transform("p", lambda x: F.struct(x["label"].alias("l"), coarse(x["count"]).alias("c"))))
+
+
+def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame, max_bundles: int = 100_000) -> DataFrame:
     """(acq_id, group_id, split_name): every record of ``groups`` with the split of its group.
 
     ``groups`` is (acq_id, group_id), ``labels`` (acq_id, label) with any number of rows for a
     record (a null label counts as the empty one, and of several the smallest counts), ``plan`` (split_name, portion), a table of fixed size. A component is never divided, so
-    a component larger than a split's quota moves the portions. An empty plan is an error.
+    a component larger than a split's quota moves the portions. An empty plan is an error. Beyond ``max_bundles`` different profiles
+    those of large components are rounded, and a bundle then counts by its means.
     """
     spark = groups.sparkSession
     parts = fixed_rows(plan.where("split_name IS NOT NULL AND portion > 0").groupBy("split_name").agg(F.max("portion").alias("portion")).orderBy("split_name"), 1000)
@@ -210,12 +238,20 @@ def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame) -> Data
         raise ValueError("the split plan holds no split with a positive portion")
     first = labels.groupBy("acq_id").agg(F.min(F.coalesce("label", F.lit(""))).alias("label"))
     counts = groups.join(first, "acq_id", "left").groupBy("group_id", F.coalesce("label", F.lit("")).alias("label")).count()
-    comp = counts.groupBy("group_id").agg(F.sum("count").alias("size"), F.array_sort(F.collect_list(F.struct("label", "count"))).alias("p"))
-    comp = comp.select("group_id", "size", F.to_json("p").alias("profile"), "p")
-    table = comp.groupBy("size", "profile").agg(F.count("*").alias("n"), F.first("p").alias("p")).orderBy("size", "profile").collect()  # different sizes x profiles
+    comp = cut(counts.groupBy("group_id").agg(F.sum("count").alias("size"), F.array_sort(F.collect_list(F.struct("label", "count"))).alias("p")))  # one entry a label
+    # what comes to the driver is bounded: large components are bundled by ever coarser counts until there are few enough bundles
+    for exact, steps in ((1 << 62, 1), (64, 8), (32, 4), (16, 2), (8, 1), (2, 1), (0, 1)):
+        keyed = comp.withColumn("profile", _bundle_key(exact, steps))
+        if keyed.select("profile").distinct().limit(max_bundles + 1).count() <= max_bundles:
+            break
+    else:
+        raise ValueError(f"more than {max_bundles} label profiles")
+    comp = keyed
+    means = comp.select("profile", "group_id", F.explode("p").alias("x")).groupBy("profile", "x.label").agg(F.sum("x.count").alias("s")).groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("label", "s"))).alias("p"))
+    table = comp.groupBy("profile").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(means, "profile").orderBy("profile").collect()
     if not table:
         return spark.createDataFrame([], "acq_id string, group_id string, split_name string")
-    dealt = allocate([(r["size"], tuple((x["label"], x["count"]) for x in r["p"]), r["n"]) for r in table], [r["portion"] for r in parts])
+    dealt = allocate([(r["size"] / r["n"], tuple((x["label"], x["s"] / r["n"]) for x in r["p"]), r["n"]) for r in table], [r["portion"] for r in parts])
     ranges = []
     for r, row in zip(table, dealt):
         at = 0
@@ -232,3 +268,20 @@ def assign_splits(groups: DataFrame, labels: DataFrame, plan: DataFrame) -> Data
     placed = comp.withColumn("r", F.row_number().over(inside) - 1).join(before, ["profile", "bucket"]).withColumn("place", F.col("r") + F.col("before"))
     named = placed.join(cuts, "profile").where("place >= lo AND place < hi").select("group_id", "split_name")
     return groups.join(named, "group_id").select("acq_id", "group_id", "split_name")
+
+
+def quota_errors(splits: DataFrame, labels: DataFrame, plan: DataFrame) -> DataFrame:
+    """(label, split_name, records, quota, error): how far each split is from its portion of each label's records; label null: of all.
+
+    ``labels`` is read as in ``assign_splits``. ``error`` is records - quota over the label's records.
+    """
+    first = labels.groupBy("acq_id").agg(F.min(F.coalesce("label", F.lit(""))).alias("label"))
+    x = splits.join(first, "acq_id", "left").select(F.coalesce("label", F.lit("")).alias("label"), "split_name")
+    by = x.groupBy("label", "split_name").count().unionByName(x.groupBy("split_name").count().withColumn("label", F.lit(None).cast("string")))
+    parts = plan.where("split_name IS NOT NULL AND portion > 0").groupBy("split_name").agg(F.max("portion").alias("portion"))
+    parts = parts.withColumn("portion", F.col("portion") / F.sum("portion").over(Window.partitionBy(F.lit(1))))  # one row a split
+    total = by.groupBy("label").agg(F.sum("count").alias("all")).withColumnRenamed("label", "l")
+    every = total.select("l", "all", F.explode(F.lit([r["split_name"] for r in fixed_rows(parts.select("split_name"), 1000)])).alias("split_name")).join(parts, "split_name")
+    out = every.join(by.withColumnRenamed("split_name", "s"), F.col("l").eqNullSafe(F.col("label")) & (F.col("split_name") == F.col("s")), "left")
+    n, q = F.coalesce("count", F.lit(0)), F.col("all") * F.col("portion")
+    return out.select(F.col("l").alias("label"), "split_name", n.alias("records"), q.alias("quota"), ((n - q) / F.col("all")).alias("error"))

@@ -107,3 +107,19 @@ def test_splits_count_every_label_of_a_component(spark):
     got = S.allocate([(10, (("x", 6), ("y", 4)), 3), (10, (("x", 4), ("y", 6)), 3)], [0.5, 0.5])
     assert [sum(r) for r in got] == [3, 3] and sum(r[0] for r in got) == 3
     assert S.allocate([(100, (("x", 60), ("y", 40)), 1), (1, "x", 60), (1, "y", 40)], [0.5, 0.5]) in ([[1, 0], [0, 60], [0, 40]], [[0, 1], [60, 0], [40, 0]])
+
+
+def test_many_bundles_are_rounded_and_quotas_are_reported(spark):
+    rng = np.random.default_rng(3)
+    groups = [(f"g{i}-{j}", f"g{i}") for i in range(300) for j in range(int(rng.integers(1, 30)))]
+    g = spark.createDataFrame(groups, "acq_id string, group_id string")
+    labels = spark.createDataFrame([(a, f"l{sum(map(ord, a)) % 3}") for a, _ in groups], "acq_id string, label string")
+    plan = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split_name string, portion double")
+    for most in (100_000, 250):
+        got = S.assign_splits(g, labels, plan, max_bundles=most)
+        rows = got.collect()
+        assert len(rows) == len(groups) and len({(r.group_id, r.split_name) for r in rows}) == 300
+        errors = S.quota_errors(got, labels, plan).collect()
+        assert len(errors) == 8 and all(abs(r.error) < (0.02 if most > 250 else 0.1) for r in errors if r.label is None)
+    with pytest.raises(ValueError):
+        S.assign_splits(g, labels, plan, max_bundles=1)

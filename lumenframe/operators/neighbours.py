@@ -171,9 +171,11 @@ def expand_copies(units: DataFrame, firsts: DataFrame, found: DataFrame, k: int)
     near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     lists = near.groupBy("space", "own").agg(F.sort_array(F.collect_list(F.struct("r", "member", "cosine"))).alias("near"))
     lists = lists.join(rep.withColumnRenamed("rep", "own"), ["space", "own"]).select("space", "key", "near")
-    # one row a direction with k + 1 ids: a direction held by a third of all rows must not be one join key
-    hot = F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")
-    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    # a direction held by a third of all rows must not be one join key: its row is repeated as often as its copies need
+    most = units.groupBy("space", "key").count().agg(F.max("count")).first()[0] or 0
+    salts = min(64, 1 + most // 100_000)
+    hot = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = units.select("space", "key", "id", hot.alias("salt")).join(lists, ["space", "key", "salt"])
     out = out.select("space", "id", F.posexplode(F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k)).alias("p", "x"))
     return out.select("space", "id", F.col("x.member").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("p") + 1).alias("rank"))

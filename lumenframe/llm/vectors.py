@@ -8,8 +8,9 @@ relative-neighbourhood rule). A query walks the graph to the nearest centroids a
 within a distance ratio of the best one. Inside a list the cosines are exact, in float64.
 
 Exact copies (equal directions) are collapsed before the search and expanded after it, so a group
-of copies of any size costs one vector. Lists that outgrow ``block_rows`` are cut into blocks and
-every query of the list reads every block, so no task holds an unbounded group.
+of copies of any size costs one vector. Neighbouring lists form cells, and a vector travels once to each cell it
+is stored in or asks. Cells that outgrow ``block_rows`` are cut into blocks and every query of the cell reads every
+block, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, space: Column | None
     return base.mapInPandas(to_unit, "space string, id string, key binary, vec binary")
 
 
-def similar_vectors(units: DataFrame, k: int = 5, list_rows: int = 256, store_ratio: float = 1.12, replicas: int = 4, probe_ratio: float = 1.25, probes: int = 12, block_rows: int = 4096, beam: int = 40) -> DataFrame:
+def similar_vectors(units: DataFrame, k: int = 5, list_rows: int = 256, store_ratio: float = 1.12, replicas: int = 4, probe_ratio: float = 1.25, probes: int = 12, block_rows: int = 16_384, beam: int = 40) -> DataFrame:
     """(id, rank, neighbour, cosine): the k most similar vectors of every vector of ``unit_vectors``.
 
     Equal cosines (to 12 decimals) go to the smaller id. A space with one vector gives no row. An

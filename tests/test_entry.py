@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="the test tables ar
 
 def test_entry_and_names(spark):
     e = importlib.import_module("__spark_entry__")
-    assert e.entry(spark).columns == ["i", "j", "sim"]
+    assert e.entry(spark).columns == ["i", "j", "basis", "sim"]
     assert set(e.oracle_sql()) <= set(e.queries())
 
 

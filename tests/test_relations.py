@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lumenframe.operators import graph as G
 from lumenframe.operators import joins as J
 from lumenframe.operators import learning as L
+from lumenframe.operators import neighbours as N
+from lumenframe.operators.quantiles import quantiles
 from lumenframe.operators.ranking import ranked
 
 
@@ -12,6 +14,21 @@ def vectors(spark, x, basis="b"):
     return spark.createDataFrame([(basis, f"v{i:03d}", [float(a) for a in v], "extra") for i, v in enumerate(x)], "basis string, id string, v array<double>, sim string")
 
 
+@pytest.mark.parametrize("small", [200_000, 20, 3])
+def test_quantiles_of_any_size_match_numpy(spark, small):
+    rng, rows = np.random.default_rng(0), [("a", None), ("a", float("nan")), ("a", float("inf"))]
+    for g, n in (("a", 900), ("b", 1), (None, 77), ("z", 500)):
+        v = rng.normal(0, 10, n)
+        v[: n // 2] = 0.0 if g == "z" else v[: n // 2]
+        rows += [(g, float(x)) for x in v]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p, r.m, r.t) for r in quantiles(df, ["g"], F.col("v"), {"p": 0.1, "m": 0.5, "t": 0.995}, small).collect()}
+    for g in ("a", "b", None, "z"):
+        own = [x for h, x in rows if h == g and x is not None and np.isfinite(x)]
+        assert np.allclose(got[g], np.quantile(own, [0.1, 0.5, 0.995]), rtol=0, atol=1e-12)
+    assert quantiles(df.limit(0), [], F.col("v"), {"m": 0.5}, small).collect() == []
+
+
 def test_top_neighbours_and_mutual_pairs_match_brute_force(spark):
     x = np.random.default_rng(0).normal(size=(60, 8))
     x[7] = x[3]  # a tie
@@ -19,16 +36,17 @@ def test_top_neighbours_and_mutual_pairs_match_brute_force(spark):
     s = np.round(u @ u.T, 12)
     np.fill_diagonal(s, -9)
     top = [set(np.lexsort((np.arange(60), -r))[:5]) for r in s]
-    got = {(r.i, r.j) for r in J.top_neighbours(vectors(spark, x), 5, block_rows=17).collect()}
+    got = {(r.i, r.j) for r in N.top_neighbours(vectors(spark, x), 5).collect()}
     assert got == {(f"v{i:03d}", f"v{j:03d}") for i in range(60) for j in top[i]}
+    assert {(r.i, r.j) for r in N.top_neighbours(vectors(spark, x), 5, held=0).collect()} == got
     want = {(f"v{i:03d}", f"v{j:03d}") for i in range(60) for j in top[i] if i < j and i in top[j] and s[i, j] >= 0.3}
-    assert {(r.i, r.j) for r in J.mutual_knn(vectors(spark, x), 5, 0.3).collect()} == want
+    assert {(r.i, r.j) for r in N.mutual_knn(vectors(spark, x), 5, 0.3).collect()} == want
 
 
 def test_neighbours_edge_cases(spark):
-    assert J.mutual_knn(vectors(spark, [])).count() == 0
-    assert J.top_neighbours(vectors(spark, [[0.0, 0.0], [1.0, 2.0]]), 3).count() == 0
-    assert J.top_neighbours(vectors(spark, [[1.0, 2.0], [2.0, 4.0], [1.0, 2.0, 3.0]]), 3).count() == 2
+    assert N.mutual_knn(vectors(spark, [])).count() == 0
+    assert N.top_neighbours(vectors(spark, [[0.0, 0.0], [1.0, 2.0]]), 3).count() == 0
+    assert N.top_neighbours(vectors(spark, [[1.0, 2.0], [2.0, 4.0], [1.0, 2.0, 3.0]]), 3).count() == 2
 
 
 @pytest.mark.parametrize("block_rows", [1024, 7])
@@ -53,9 +71,10 @@ def test_matched_groups_keep_every_pair(spark, block_rows):
 def test_shared_component_keeps_links_beyond_five_own_copies(spark, tmp_path):
     from lumenframe.plans.relations import shared_component
 
-    v = [[1.0, 0.001 * i, 0.0] for i in range(8)]
-    rows = [("a", " S1", v), ("b", "S2", [[1.0, 0.02, 0.0]]), ("c", "S3", [[0.0, 0.0, 1.0]]), ("d", None, [[1.0, 0.0, 0.0]])]
-    spark.createDataFrame(rows, "acq_id string, specimen string, endmembers array<array<double>>").write.parquet(f"{tmp_path}/records.parquet")
+    w = np.linspace(1000, 1800, 41)
+    band = lambda at, tail=0.0: (np.exp(-(((w - at) / 50) ** 2)) + tail).tolist()
+    rows = [("a", " S1", [band(1350, 0.001 * i) for i in range(8)], w.tolist(), None), ("b", "S2", [band(1350, 0.02)[::-1]], None, w[::-1].tolist()), ("c", "S3", [band(1600)], w.tolist(), None), ("d", None, [band(1350)], w.tolist(), None)]
+    spark.createDataFrame(rows, "acq_id string, specimen string, endmembers array<array<double>>, endmember_wn array<double>, wavenumber array<double>").write.parquet(f"{tmp_path}/records.parquet")
     assert [(r.a, r.b) for r in shared_component(spark, str(tmp_path)).collect()] == [("S1", "S2")]
 
 

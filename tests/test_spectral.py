@@ -163,3 +163,44 @@ def test_savgol_query_equals_the_matrix_to_the_ends(spark, tmp_path):
         got.setdefault(r.acq_id, {})[r.k] = r.v
     for n, y in zip(sizes, ys):
         assert [got[f"a{n}"][k] for k in range(n)] == pytest.approx((spectral.savgol_matrix(n) @ y).tolist(), abs=1e-3)
+
+
+def test_modpoly_iterates_as_the_plain_form():
+    w = np.linspace(1000, 1800, 120)
+    rng = np.random.default_rng(2)
+    y = np.array([200 + 0.1 * (w - 1000) + a * np.exp(-(((w - 1350) / 40) ** 2)) + rng.normal(0, 1, 120) for a in (0.0, 60.0, 250.0)])
+    for order in (1, 3):
+        x = (w - w.mean()) / w.std()
+        for row, got in zip(y, baselines.modpoly(y, w, order)):
+            cut, before = row.copy(), None
+            for _ in range(24):
+                fit = np.polyval(np.polyfit(x, cut, order), x)
+                cut = np.minimum(cut, fit)
+                if before is not None and np.linalg.norm(fit - before) < 1e-3 * (np.linalg.norm(before) + 1e-9):
+                    break
+                before = fit
+            assert np.allclose(got, fit, atol=1e-7)
+
+
+def test_protocols_are_the_published_ones():
+    text = {n: repr(p) for n, p in PROTOCOLS.items()}
+    assert text["minimal"] == "crop() > despike()"
+    assert text["carbon_dg"].endswith("baseline(method=arpls, lam=100000.0) > savgol(window=7) > normalise(method=area)")
+    assert text["arpls"].endswith("normalise(method=vector)") and text["chord"].endswith("order=1) > normalise(method=area)") and text["poly3"].endswith("order=3) > normalise(method=area)")
+
+
+def test_simplex_shares_and_corners(spark):
+    from lumenframe.operators import learning
+
+    rng = np.random.default_rng(0)
+    ends = np.abs(rng.normal(1, 0.5, (3, 20)))
+    shares = rng.dirichlet([1, 1, 1], 200)
+    shares[:3] = np.eye(3)
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(shares @ ends)], "acq_id string, pt int, y array<double>")
+    found = learning.extreme_spectra(rows, 20, 3)
+    assert sorted(np.round(found.sum(1), 6)) == sorted(np.round(ends.sum(1), 6))
+    got = np.array([r.shares for r in learning.abundances(rows, ends).orderBy("pt").collect()])
+    assert np.allclose(got, shares, atol=1e-4) and np.allclose(got.sum(1), 1) and (got >= 0).all()
+    parts, error, used = learning.factorise(rows, 20, 3)
+    assert parts.shape == (3, 20) and (parts >= 0).all() and error < 0.05 and used < 600
+    assert learning.extreme_spectra(rows.limit(0), 20, 3).shape == (0, 20)

@@ -103,7 +103,7 @@ def test_growth_pruning_and_saved_fields(spark, tmp_path):
     assert len(grown) == n + chosen and len({r.gid for r in grown}) == len(grown)
     G.save_field(f, str(tmp_path / "f"))
     again = G.load_field(spark, str(tmp_path / "f"))
-    assert G.report(again, vol).collect() == G.report(f, vol).collect()
+    assert np.allclose(G.report(again, vol).first()[1:], G.report(f, vol).first()[1:], rtol=1e-9)
     s = G.accessors(f).first()
     assert np.isclose(np.linalg.norm(s.quaternion), 1) and s.amplitude > 0 and min(s.covariance[:3]) > 0
     assert G.shape_statistics(f, vol.grid).first().ratio_median >= 1

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+LEAST = 8  # channels a spectrum needs to be read on another grid
+
 
 def matched_groups(vectors: DataFrame, floor: float, block_rows: int = 1024) -> DataFrame:
     """(a, b, sim), a < b: all pairs of unlike groups of (g, v) of which two vectors have a cosine of at least ``floor``; the best one counts.
@@ -114,7 +116,7 @@ def resample(y: str, w: str, grid: list[float]) -> Column:
     return F.when(F.size(wc) >= 2, F.transform(F.array(*[F.lit(float(g)) for g in grid]), at))
 
 
-def on_grid(spectra: DataFrame, y: str, w: str, grid: np.ndarray, envelope: tuple[float, float] | None = None, least: int = 8) -> DataFrame:
+def on_grid(spectra: DataFrame, y: str, w: str, grid: np.ndarray, envelope: tuple[float, float] | None = None, least: int = LEAST) -> DataFrame:
     """The rows with ``y`` read at the grid's wavenumbers: linear between its finite channels and level beyond them.
 
     With an envelope only channels inside it count. Spectra with under ``least`` such channels, or whose axis has another length, are

@@ -1,9 +1,10 @@
 """Exact nearest neighbours by cosine.
 
-Vectors meet as unit vectors of one basis and length. A collection whose matrix is small (its size is counted first) is
-broadcast, and each task multiplies its own rows with it. A larger one is cut into cells around pivots: every vector
-first meets its own cell, and then only those cells that can still hold a nearer one, by the triangle inequality of angles.
-Equal directions are one vector in the search and are expanded after it, so copies of any number cost one.
+Vectors meet as unit vectors of one basis and length, turned to their common principal axes and cut where nothing is left, so that
+spectra read from few channels travel as few numbers. The stored side is broadcast piece by piece, each piece within a bound of
+bytes, and each task multiplies its own rows with it: first single precision on the leading axes gives an upper bound of every
+cosine, then the pairs that can still be among the nearest are multiplied whole. Equal directions are one vector in the search and
+are expanded after it, so copies of any number cost one.
 """
 
 from __future__ import annotations
@@ -16,145 +17,171 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, fixed_rows
 
-HELD = 64 << 20  # bytes of the matrix that is broadcast
-PIVOT_SAMPLE = 20_000
-CELL = 2048  # vectors a cell should hold, and that meet at once in a task
-_FOUND = "space string, id string, neighbour string, cosine double"
+HELD = 16 << 20  # bytes of the stored vectors that are broadcast at once
+TURNED = 1024  # longer vectors keep their own axes
+TAIL = 1e-8  # what is left of a unit vector where it is cut: its square is below rounding
+SLACK = 2e-5  # what single precision may lose in a cosine
+COARSE = 1e-3  # mean square of what the leading axes may leave of a unit vector
+FEW_COPIES = 500_000
+_FOUND = "id string, neighbour string, cosine double"
 
 
-def unit_rows(vectors: DataFrame) -> DataFrame:
-    """(space, id, key, u) of (basis, id, v): unit vectors as bytes; ``key`` tells equal directions, the space basis and length.
+def _units(vectors: pd.DataFrame) -> Iterator[tuple[str, pd.Series, np.ndarray]]:
+    """(space, ids, unit vectors) of the rows with a direction, for each basis and length."""
+    v = [np.asarray(a, float) for a in vectors["v"]]
+    spaces = pd.Series([f"{basis}\x01{len(a)}" for basis, a in zip(vectors["basis"], v)], dtype=object)
+    for space, at in spaces.groupby(spaces).groups.items():
+        m = np.stack([v[i] for i in at])
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.linalg.norm(m, axis=1)
+        ok = np.isfinite(size) & (size >= 1e-12)
+        if ok.any():
+            yield space, vectors["id"].iloc[at[ok]], m[ok] / size[ok, None]
 
-    Null, zero and non-finite vectors have no direction and are left out; of an id's vectors in a basis the smallest counts.
+
+def _axes(vectors: DataFrame) -> dict[str, tuple[np.ndarray, int]]:
+    """For each space its principal axes and how many of them hold nearly all: from sums of squares, at most 1000 spaces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for space, _, u in _units(pdf):
+                if u.shape[1] <= TURNED:
+                    held[space] = held.get(space, 0.0) + u.T @ u
+        yield pd.DataFrame({"space": list(held), "g": [g.tobytes() for g in held.values()]}, dtype=object)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"space": pdf["space"].iloc[:1], "g": [sum(np.frombuffer(g) for g in pdf["g"]).tobytes()]})
+
+    parts = vectors.mapInPandas(run, "space string, g binary").groupBy("space", F.pmod(F.spark_partition_id(), F.lit(4))).applyInPandas(add, "space string, g binary")
+    total: dict[str, np.ndarray] = {}
+    for r in fixed_rows(parts, 4000):
+        total[r["space"]] = total.get(r["space"], 0.0) + np.frombuffer(r["g"])
+    if len(total) > 1000:
+        raise ValueError("more than 1000 bases and lengths")
+    out = {}
+    for space, g in total.items():
+        n = int(np.sqrt(len(g)))
+        power, turn = np.linalg.eigh(g.reshape(n, n))
+        power, turn = np.maximum(power[::-1], 0), np.ascontiguousarray(turn[:, ::-1])
+        left = power.sum() - np.cumsum(power)
+        out[space] = turn, min(n, int(-(-(1 + np.argmax(left <= COARSE * power.sum())) // 8) * 8))
+    return out
+
+
+def directions(vectors: DataFrame, unique: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """(space, id, key, u) of (basis, id, v), and the number of leading axes of each space.
+
+    ``u`` is the unit vector on its space's principal axes as bytes; ``key`` tells equal directions, the space basis and length.
+    Null, zero and non-finite vectors have no direction and are left out; of an id's vectors in a basis the smallest counts
+    (``unique`` says that there is only one).
     """
-    one = vectors.where("id IS NOT NULL AND size(v) > 0").groupBy("basis", F.col("id").cast("string").alias("id")).agg(F.min(F.col("v").cast("array<double>")).alias("v"))
+    x = vectors.where("id IS NOT NULL AND size(v) > 0").select("basis", F.col("id").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    if not unique:
+        x = x.groupBy("basis", "id").agg(F.min("v").alias("v"))
+    axes = _axes(x)
+    shared = x.sparkSession.sparkContext.broadcast({space: turn for space, (turn, _) in axes.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for basis, i, v in zip(pdf["basis"], pdf["id"], pdf["v"]):
-                v = np.asarray(v, float)
-                size = np.linalg.norm(v)
-                if np.isfinite(size) and size >= 1e-12:
-                    u = v / size
-                    rows.append((f"{basis}\x01{len(u)}", i, hashlib.md5((np.round(u, 10) + 0.0).tobytes()).digest(), u.tobytes()))
-            yield pd.DataFrame(rows, columns=["space", "id", "key", "u"])
+            for space, ids, u in _units(pdf):
+                keys = [hashlib.md5(a.tobytes()).digest() for a in np.round(u, 10) + 0.0]
+                turn = shared.value.get(space)
+                c = u if turn is None else u @ turn
+                left = np.sqrt(np.cumsum((c * c)[:, ::-1], axis=1))[:, ::-1]
+                size = np.maximum(1, (left > TAIL).sum(axis=1))
+                yield pd.DataFrame({"space": space, "id": ids.to_numpy(dtype=object), "key": keys, "u": [a[:n].tobytes() for a, n in zip(c, size)]})
 
-    return one.mapInPandas(run, "space string, id string, key binary, u binary")
+    return cut(x.mapInPandas(run, "space string, id string, key binary, u binary")), {space: lead for space, (_, lead) in axes.items()}
 
 
 def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(b) for b in column])
-
-
-def _nearest(qi: np.ndarray, q: np.ndarray, si: np.ndarray, s: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, stored row, cosine) of each query's k nearest other vectors and their ties, at or above its own bar."""
+    """The vectors as rows, shorter ones filled up with zeros."""
+    rows = [np.frombuffer(b) for b in column]
+    out = np.zeros((len(rows), max(map(len, rows))))
+    for a, r in zip(out, rows):
+        a[: len(r)] = r
+    return out
+
+
+def _coarse(u: np.ndarray, lead: int) -> np.ndarray:
+    """The leading axes and the length of the rest: products of these are at least the cosines, up to single precision."""
+    rest = np.sqrt((u[:, lead:] ** 2).sum(axis=1, keepdims=True)) if u.shape[1] > lead else np.zeros((len(u), 1))
+    out = np.zeros((len(u), lead + 1), np.float32)
+    out[:, : min(lead, u.shape[1])], out[:, lead:] = u[:, :lead], rest
+    return out
+
+
+def _cosines(q: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a))
+    for at in range(0, len(a), 20_000):
+        out[at : at + 20_000] = np.einsum("nd,nd->n", q[a[at : at + 20_000]], s[b[at : at + 20_000]])
+    return np.round(out, 12)
+
+
+def _nearest(qi: np.ndarray, q: np.ndarray, si: np.ndarray, s: np.ndarray, k: int, floor: float, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, stored row, cosine) of each query's k nearest other vectors at or above the floor; ties go to the smaller id."""
+    width = min(q.shape[1], s.shape[1])
+    quick, held = _coarse(q, lead), _coarse(s, lead)
+    group = 64 if len(s) >= 128 * (k + 1) else 1
+    place = {i: n for n, i in enumerate(si)}
     a, b, c = [], [], []
-    for at in range(0, len(q), 512):
-        cos = np.round(q[at : at + 512] @ s.T, 12)
-        cos[qi[at : at + 512, None] == si[None, :]] = -np.inf
-        bar = least[at : at + 512]
-        if cos.shape[1] > k:
-            bar = np.maximum(bar, np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k])
-        r, j = np.nonzero((cos >= bar[:, None]) & np.isfinite(cos))
-        a.append(at + r), b.append(j), c.append(cos[r, j])
+    for at in range(0, len(q), 128):
+        bound = quick[at : at + 128] @ held.T
+        full, n = q[at : at + 128, :width], len(bound)
+        own = np.array([place.get(i, -1) for i in qi[at : at + 128]])
+        bound[own >= 0, own[own >= 0]] = -np.inf
+        bar = np.full(n, floor)
+        tops = bound[:, : len(s) // group * group].reshape(n, group, -1)
+        most = tops.max(axis=1)
+        if most.shape[1] > k + 1:  # k of the others are at least as near as the farthest of these k
+            best = np.argpartition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k :]
+            row = np.repeat(np.arange(n), k)
+            pick = tops[row, :, best.ravel()].argmax(axis=1) * most.shape[1] + best.ravel()
+            bar = np.maximum(bar, _cosines(full, s[:, :width], row, pick).reshape(n, k).min(axis=1))
+        r, j = np.divmod(np.flatnonzero(bound >= (bar - SLACK).astype(np.float32)[:, None]), len(s))
+        cos = _cosines(full, s[:, :width], r, j)
+        keep = (cos >= bar[r]) & (j != own[r])
+        r, j, cos = r[keep], j[keep], cos[keep]
+        order = np.lexsort((si[j].astype(str), -cos, r))
+        r, j, cos = r[order], j[order], cos[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        a.append(at + r[first]), b.append(j[first]), c.append(cos[first])
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def _against_all(x: DataFrame, k: int, floor: float) -> DataFrame:
-    """Nearest neighbours where all vectors fit in one broadcast."""
-    rows = x.select("space", "id", "u").toPandas()
-    held = {space: (p["id"].to_numpy(dtype=object), _stack(p["u"])) for space, p in rows.groupby("space")}
-    shared = x.sparkSession.sparkContext.broadcast(held)
+def _piece(x: DataFrame, rows: DataFrame, k: int, floor: float, lead: int) -> DataFrame:
+    """The nearest of all rows of one space among a piece of them."""
+    held = rows.toPandas()
+    if not len(held):
+        return x.sparkSession.createDataFrame([], _FOUND)
+    shared = x.sparkSession.sparkContext.broadcast((held["id"].to_numpy(dtype=object), _stack(held["u"])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for space, p in pdf.groupby("space"):
-                si, s = shared.value[space]
-                qi = p["id"].to_numpy(dtype=object)
-                a, b, c = _nearest(qi, _stack(p["u"]), si, s, k, np.full(len(p), floor))
-                yield pd.DataFrame({"space": space, "id": qi[a], "neighbour": si[b], "cosine": c})
+            si, s = shared.value
+            qi = pdf["id"].to_numpy(dtype=object)
+            a, b, c = _nearest(qi, _stack(pdf["u"]), si, s, k, floor, lead)
+            yield pd.DataFrame({"id": qi[a], "neighbour": si[b], "cosine": c})
 
-    return x.select("space", "id", "u").repartition("id").mapInPandas(run, _FOUND)
+    found = cut(x.select("id", "u").mapInPandas(run, _FOUND))
+    shared.destroy()
+    return found
 
 
-def _by_cells(x: DataFrame, sizes: dict[str, int], k: int, floor: float) -> DataFrame:
-    """Nearest neighbours cell by cell; what a cell cannot hold by its radius is never read."""
-    spark = x.sparkSession
-    pivots = {}
-    for space, n in sizes.items():
-        part = min(1.0, PIVOT_SAMPLE / n)
+def _found(x: DataFrame, sizes: dict[str, tuple[int, int]], leads: dict[str, int], k: int, floor: float, held: int) -> DataFrame:
+    """(space, id, neighbour, cosine): of each piece of the stored vectors the k nearest of every vector."""
+    out = x.sparkSession.createDataFrame([], "space string, " + _FOUND)
+    for space, (n, size) in sorted(sizes.items()):
         own = x.where(F.col("space") == space)
-        some = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(np.ceil(part * 1e6))).orderBy(F.xxhash64("id")).select("u").toPandas()["u"]
-        m = _stack(some)
-        c = m[: max(1, min(1024, n // CELL, len(m)))]
-        for _ in range(5):
-            at = (m @ c.T).argmax(1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, at, m)
-            size = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
-        pivots[space] = c
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for space, p in pdf.groupby("space"):
-                cos = np.clip(_stack(p["u"]) @ shared.value[space].T, -1, 1)
-                cell = cos.argmax(1)
-                yield p.assign(cell=cell.astype(np.int32), angle=np.arccos(cos[np.arange(len(p)), cell]))
-
-    x = cut(x.select("space", "id", "u").mapInPandas(place, "space string, id string, u binary, cell int, angle double"))
-    cells = x.groupBy("space", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # at most 1024 rows a space
-    radius = {space: np.full(len(c), -1.0) for space, c in pivots.items()}
-    blocks = {}
-    for r in cells:
-        radius[r["space"]][r["cell"]] = r["radius"]
-        blocks[(r["space"], r["cell"])] = -(-r["n"] // CELL)
-    near = spark.sparkContext.broadcast(radius)
-    parts = broadcast_if_small(spark.createDataFrame([(s, c, b) for (s, c), b in blocks.items()], "space string, cell int, nb int"), 2_000_000)
-
-    def meet(stored: DataFrame, asking: DataFrame) -> DataFrame:
-        """Queries (space, cell, id, u, bar) against the stored vectors of their cell, block by block."""
-        s = stored.join(parts, ["space", "cell"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-        q = asking.join(parts, ["space", "cell"]).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-
-        def run(sp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-            if not len(sp) or not len(qp):
-                return pd.DataFrame({"space": [], "id": [], "neighbour": []}, dtype=object).assign(cosine=0.0)
-            qi, si = qp["id"].to_numpy(dtype=object), sp["id"].to_numpy(dtype=object)
-            a, b, c = _nearest(qi, _stack(qp["u"]), si, _stack(sp["u"]), k, qp["bar"].to_numpy(float))
-            return pd.DataFrame({"space": qp["space"].iloc[0], "id": qi[a], "neighbour": si[b], "cosine": c})
-
-        # a cell asked by very many queries is cut by them as well
-        turn = F.pmod(F.xxhash64("id", F.lit("q")), F.lit(16)).cast("int")
-        s = s.select("space", "cell", "blk", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("turn"), "id", "u")
-        q = q.select(*[F.col(c).alias(c) for c in ("space", "cell", "blk")], turn.alias("turn"), F.col("id").alias("id"), F.col("u").alias("u"), "bar")
-        keys = ["space", "cell", "blk", "turn"]
-        return s.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, _FOUND)
-
-    own = cut(meet(x, x.select("space", "cell", "id", "u", F.lit(float(floor)).alias("bar"))))
-    order = Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "neighbour")
-    kth = own.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("space", "id", F.col("cosine").alias("kth"))
-    asking = x.join(kth, ["space", "id"], "left").withColumn("bar", F.greatest(F.lit(float(floor)), F.coalesce("kth", F.lit(-1.0))))
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for space, p in pdf.groupby("space"):
-                r = near.value[space]
-                angle = np.arccos(np.clip(_stack(p["u"]) @ shared.value[space].T, -1, 1))
-                best = np.cos(np.clip(angle - r, 0, np.pi)) + 1e-9
-                hit = (best >= p["bar"].to_numpy()[:, None]) & (r >= 0)
-                hit[np.arange(len(p)), p["cell"].to_numpy()] = False
-                i, c = np.nonzero(hit)
-                for at in range(0, len(i), 4096):
-                    rows = p.iloc[i[at : at + 4096]]
-                    yield pd.DataFrame({"space": space, "cell": c[at : at + 4096].astype(np.int32), "id": rows["id"].to_numpy(), "u": rows["u"].to_numpy(), "bar": rows["bar"].to_numpy()})
-
-    more = meet(x, asking.select("space", "id", "u", "cell", "bar").mapInPandas(probe, "space string, cell int, id string, u binary, bar double"))
-    return own.unionByName(more)
+        pieces = max(1, min(-(-size // max(held, 1)), -(-n // 64)))
+        lead = leads.get(space, int(space.rpartition("")[2]))
+        for piece in range(pieces):
+            rows = own.where(F.pmod(F.xxhash64("id"), F.lit(pieces)) == piece).select("id", "u")
+            out = out.unionByName(_piece(own, rows, k, floor, lead).withColumn("space", F.lit(space)))
+    return out
 
 
 def expand_copies(units: DataFrame, firsts: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -181,23 +208,17 @@ def expand_copies(units: DataFrame, firsts: DataFrame, found: DataFrame, k: int)
     return out.select("space", "id", F.col("x.member").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 
-def top_neighbours(vectors: DataFrame, k: int, floor: float = -1.0, held: int = HELD) -> DataFrame:
-    """(basis, i, j, sim, rank): for each vector of (basis, id, v) its k most similar others, exactly.
-
-    Null, zero and non-finite vectors take no part, and vectors of unlike length don't meet. Equal similarities (to 12 decimals) go
-    to the smaller id. Similarities below ``floor`` don't count. An empty input gives an empty result.
-    """
-    units = cut(unit_rows(vectors))
-    firsts = units.withColumn("n", F.row_number().over(Window.partitionBy("space", "key").orderBy("id"))).where(F.col("n") <= k + 1).select("space", "key", "id", "u", "n")
-    copies = units.count() > units.select("space", "key").distinct().count()
-    if copies:
-        firsts = cut(firsts)
-    reps = firsts.where("n = 1") if copies else units
+def nearest(units: DataFrame, leads: dict[str, int], k: int, floor: float = -1.0, held: int = HELD) -> DataFrame:
+    """(basis, i, j, sim, rank): for each of the ``directions`` its k most similar others, exactly."""
+    slim = units.select("space", "key", "id").withColumn("n", F.row_number().over(Window.partitionBy("space", "key").orderBy("id")))
+    firsts = cut(slim.where(F.col("n") <= k + 1))
+    rest = slim.where("n > 1").select("space", "id")
+    copies = not firsts.where("n > 1").isEmpty()
+    reps = units.join(broadcast_if_small(rest, FEW_COPIES), ["space", "id"], "left_anti") if copies else units
     sizes = {r["space"]: (r["count"], r["b"]) for r in reps.groupBy("space").agg(F.count("*").alias("count"), F.sum(F.length("u")).alias("b")).limit(1001).collect()}
     if len(sizes) > 1000:
         raise ValueError("more than 1000 bases and lengths")
-    small = sum(b for _, b in sizes.values()) <= held
-    found = _against_all(reps, k, floor) if small else _by_cells(reps, {s: n for s, (n, _) in sizes.items()}, k, floor)
+    found = _found(reps, sizes, leads, k, floor, held)
     order = Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "neighbour")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if copies:
@@ -205,9 +226,18 @@ def top_neighbours(vectors: DataFrame, k: int, floor: float = -1.0, held: int =
     return best.select(F.split_part("space", F.lit("\x01"), F.lit(1)).alias("basis"), F.col("id").alias("i"), F.col("neighbour").alias("j"), F.col("cosine").alias("sim"), "rank")
 
 
-def mutual_knn(vectors: DataFrame, k: int = 5, floor: float = 0.65, held: int = HELD) -> DataFrame:
+def top_neighbours(vectors: DataFrame, k: int, floor: float = -1.0, held: int = HELD, unique: bool = False) -> DataFrame:
+    """(basis, i, j, sim, rank): for each vector of (basis, id, v) its k most similar others, exactly.
+
+    Null, zero and non-finite vectors take no part, and vectors of unlike length don't meet. Equal similarities (to 12 decimals) go
+    to the smaller id. Similarities below ``floor`` don't count. An empty input gives an empty result.
+    """
+    return nearest(*directions(vectors, unique), k, floor, held)
+
+
+def mutual_knn(vectors: DataFrame, k: int = 5, floor: float = 0.65, held: int = HELD, unique: bool = False) -> DataFrame:
     """(basis, i, j, sim), i < j: pairs in which each is among the other's k nearest, with similarity at least ``floor``."""
-    near = top_neighbours(vectors, k, floor, held)
+    near = top_neighbours(vectors, k, floor, held, unique)
     # a pair that both sides name comes twice
     pair = near.groupBy("basis", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.count("*").alias("c"), F.max("sim").alias("sim"))
     return pair.where("c = 2").select("basis", "i", "j", "sim")

@@ -42,14 +42,33 @@ GRID = np.arange(1000.0, 1801.0, 2.0)
 ENVELOPE = (990.0, 1810.0)
 
 
-def spectra_of(spark, d):
-    """(basis, id, v): one vector an acquisition: its sound mean spectrum on the common grid."""
-    r = table(spark, d, "records")
+def _sound(r):
+    """The spectrum of a record in order of its axis as (v, w), null where it is unsound."""
     s, w = F.col("mean_spectrum"), F.col("wavenumber")
     ok = F.coalesce((F.size(s) == F.size(w)) & (F.size(s) > 0) & F.forall(s, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     rising = F.array_sort(F.arrays_zip(w.alias("w"), s.alias("s")))
-    one = r.where(ok & F.col("acq_id").isNotNull()).groupBy(F.col("acq_id").alias("id")).agg(F.min(F.struct(F.transform(rising, lambda x: x["s"]).alias("v"), F.transform(rising, lambda x: x["w"]).alias("w"))).alias("r"))
-    return J.on_grid(one.select(F.lit("spectral").alias("basis"), "id", "r.v", "r.w"), "v", "w", GRID, ENVELOPE)
+    return F.when(ok, F.struct(F.transform(rising, lambda x: x["s"]).alias("v"), F.transform(rising, lambda x: x["w"]).alias("w")))
+
+
+def _once(r):
+    """(id, r, f): one row an acquisition: its smallest sound spectrum and the smallest finite value of each feature.
+
+    Repeats are found by the ids alone; only repeated acquisitions are shuffled with their spectra.
+    """
+    each = r.where(F.col("acq_id").isNotNull()).select(F.col("acq_id").alias("id"), _sound(r).alias("r"), F.map_filter("features", lambda k, v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).alias("f"))
+    again = broadcast_if_small(cut(each.groupBy("id").count().where("count > 1").select("id")), 500_000)
+    more = each.join(again, "id", "left_semi")
+    f = more.select("id", F.explode("f").alias("k", "v")).groupBy("id", "k").agg(F.min("v").alias("v")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("f"))  # the features of one acquisition
+    return each.join(again, "id", "left_anti").unionByName(cut(more.groupBy("id").agg(F.min("r").alias("r")).join(f, "id", "left")))
+
+
+def _on_common_grid(one):
+    return J.on_grid(one.where("r IS NOT NULL").select(F.lit("spectral").alias("basis"), "id", "r.v", "r.w"), "v", "w", GRID, ENVELOPE)
+
+
+def spectra_of(spark, d):
+    """(basis, id, v): one vector an acquisition: its sound mean spectrum on the common grid."""
+    return _on_common_grid(_once(table(spark, d, "records")))
 
 
 def vectors_of(spark, d):
@@ -57,15 +76,14 @@ def vectors_of(spark, d):
 
     The features are the finite ones that any record has, in order of their names; their spread counts absent values as the mean.
     """
-    spectral = cut(spectra_of(spark, d))
-    r = table(spark, d, "records").where("acq_id IS NOT NULL")
-    every = r.agg(F.countDistinct("acq_id").alias("n")).first()["n"]
-    x = r.select(F.col("acq_id").alias("id"), F.explode("features").alias("k", "v")).where(~F.isnan("v") & (F.abs("v") < float("inf"))).groupBy("id", "k").agg(F.min("v").alias("v"))
+    one = _once(table(spark, d, "records"))
+    every = one.count()
+    x = one.select(F.explode("f").alias("k", "v"))
     stat = sorted((q["k"], q["m"], q["sd"] or 1.0) for q in fixed_rows(x.groupBy("k").agg(F.avg("v").alias("m"), F.sqrt(F.var_pop("v") * F.count("*") / every).alias("sd")), 10_000))
-    rest = r.select(F.col("acq_id").alias("id")).distinct().join(spectral.select("id"), "id", "left_anti")
-    held = x.join(rest, "id", "left_semi").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("f"))  # the features of one acquisition
+    inside = F.size(F.filter("r.w", lambda a: a.between(*ENVELOPE)))
+    held = one.where((F.size("f") > 0) & (F.col("r").isNull() | (inside < J.LEAST)))
     z = F.array(*[F.coalesce((F.element_at("f", F.lit(k)) - m) / sd, F.lit(0.0)) for k, m, sd in stat]) if stat else F.array().cast("array<double>")
-    return spectral.unionByName(held.select(F.lit("tabular").alias("basis"), "id", z.alias("v")))
+    return _on_common_grid(one).unionByName(held.select(F.lit("tabular").alias("basis"), "id", z.alias("v")))
 
 
 SPECTRA = """
@@ -90,12 +108,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) n FROM c W
 @query("mutual_knn_j06", VECTORS + "SELECT x.i, x.j, x.basis, round(x.s, 4) sim FROM k x JOIN k y ON x.i = y.j AND x.j = y.i WHERE x.n <= 5 AND y.n <= 5 AND x.i < x.j")
 def mutual_knn(spark, d):
     """Pairs among each other's five nearest: by spectrum on the common grid, or by features where there is none."""
-    return N.mutual_knn(vectors_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR).select("i", "j", "basis", F.round("sim", 4).alias("sim"))
+    return N.mutual_knn(vectors_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR, unique=True).select("i", "j", "basis", F.round("sim", 4).alias("sim"))
 
 
 @query("similar_to_g05", VECTORS + "SELECT x.i a, x.j b, 'SIMILAR_TO' etype, round_even(x.s, 4) weight, x.basis, CASE x.basis WHEN 'spectral' THEN 'ok' ELSE 'low' END confidence FROM k x JOIN k y ON x.i = y.j AND x.j = y.i WHERE x.n <= 5 AND y.n <= 5 AND x.i < x.j")
 def similar_to(spark, d):
-    x = N.mutual_knn(vectors_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR)
+    x = N.mutual_knn(vectors_of(spark, d), C.NEIGHBOURS, C.SIMILARITY_FLOOR, unique=True)
     return x.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit("SIMILAR_TO").alias("etype"), F.bround("sim", 4).alias("weight"), "basis", F.when(F.col("basis") == "spectral", "ok").otherwise("low").alias("confidence"))
 
 

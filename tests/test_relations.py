@@ -8,6 +8,7 @@ from lumenframe.operators import learning as L
 from lumenframe.operators import neighbours as N
 from lumenframe.operators.quantiles import quantiles
 from lumenframe.operators.ranking import ranked
+from lumenframe.plans import relations as R
 
 
 def vectors(spark, x, basis="b"):
@@ -189,3 +190,36 @@ def test_linear_models_against_numpy(spark):
     got = np.array([r.shares for r in L.abundances(mix, ends, 2000).orderBy("pt").collect()])
     assert np.abs(got - share).max() < 1e-3
     assert L.scores(spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), (None, "y")], "truth string, guess string")).first().asDict() == pytest.approx({"n": 3, "accuracy": 2 / 3, "balanced_accuracy": 0.75, "f1_weighted": 2 / 3})
+
+
+def _few_channels(spark, path, n=300):
+    """A records table of spectra with 21 channels; returns their vectors on the common grid."""
+    rng = np.random.default_rng(5)
+    wn, y = np.arange(1000.0, 1801.0, 40.0), rng.random((n, 21)) ** 4
+    rows = [(f"a{i:03d}", "A", {"dg_ratio": float(i)}, y[i].tolist(), wn.tolist()) for i in range(n)] + [("a000", "B", {"dg_ratio": -1.0}, (y[0] + 1).tolist(), wn.tolist())]
+    rows.append(("short", "A", {"dg_ratio": 1.0}, [1.0] * 7, wn[:7].tolist()))
+    rows.append(("bare", "A", {"dg_ratio": 2.0}, None, None))
+    spark.createDataFrame(rows, "acq_id string, carbon_class string, features map<string,double>, mean_spectrum array<double>, wavenumber array<double>").write.parquet(str(path / "records.parquet"))
+    v = np.stack([np.interp(np.arange(1000.0, 1801.0, 2.0), wn, a) for a in y])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _stored(spark):
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    return sum(f.stat().st_size for f in folder.rglob("part-*"))
+
+
+def test_similar_to_holds_in_pieces_and_stores_no_whole_vector(spark, tmp_path, monkeypatch):
+    u = _few_channels(spark, tmp_path)
+    before = _stored(spark)
+    whole = {(r.a, r.b) for r in R.similar_to(spark, str(tmp_path)).where("basis = 'spectral'").collect()}
+    assert _stored(spark) - before < 300 * 401 * 8
+    cos = np.round(u @ u.T, 12)
+    np.fill_diagonal(cos, -1)
+    near = [{j for j in np.argsort(-c, kind="stable")[:5] if c[j] >= 0.65} for c in cos]
+    assert whole == {(f"a{i:03d}", f"a{j:03d}") for i in range(300) for j in near[i] if i < j and i in near[j]}
+    x = [(str(i), a.tolist()) for i, a in enumerate(u)]
+    df = spark.createDataFrame([("m", *r) for r in x], "basis string, id string, v array<double>")
+    assert {(r.i, r.j, r.rank) for r in N.top_neighbours(df, 3, held=8000).collect()} == {(r.i, r.j, r.rank) for r in N.top_neighbours(df, 3).collect()}

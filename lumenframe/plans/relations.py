@@ -120,9 +120,9 @@ def similar_to(spark, d):
 @query("pair_cosines_j05", VECTORS + ", z AS (SELECT basis, i, count(*) n, max(s) top FROM c GROUP BY ALL) SELECT basis, i, n::BIGINT n, round(top, 6) top FROM z")
 def pair_cosines(spark, d):
     """For each acquisition how many it is compared with and the highest cosine."""
-    x = cut(vectors_of(spark, d)).where(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a) > 1e-24)
-    top = N.top_neighbours(x, 1).select("basis", "i", F.round("sim", 6).alias("top"))
-    n = x.groupBy("basis").agg((F.count("*") - 1).alias("n"))
+    units, leads = N.directions(vectors_of(spark, d), unique=True)
+    top = N.nearest(units, leads, 1).select("basis", "i", F.round("sim", 6).alias("top"))
+    n = units.groupBy(F.split_part("space", F.lit("\x01"), F.lit(1)).alias("basis")).agg((F.count("*") - 1).alias("n"))
     return top.join(broadcast_if_small(n, 1000), "basis").select("basis", "i", "n", "top")
 
 

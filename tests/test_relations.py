@@ -211,6 +211,17 @@ def _stored(spark):
     return sum(f.stat().st_size for f in folder.rglob("part-*"))
 
 
+def test_pair_cosines_store_no_vector_on_the_whole_grid(spark, tmp_path):
+    u = _few_channels(spark, tmp_path)
+    before = _stored(spark)
+    got = {r.i: (r.basis, r.n, r.top) for r in R.pair_cosines(spark, str(tmp_path)).collect()}
+    assert _stored(spark) - before < 300 * 401 * 8
+    cos = u @ u.T
+    np.fill_diagonal(cos, -1)
+    assert {i: got[i] for i in got if i.startswith("a")} == {f"a{i:03d}": ("spectral", 299, pytest.approx(cos[i].max(), abs=1e-6)) for i in range(300)}
+    assert got["bare"][:2] == got["short"][:2] == ("tabular", 1)
+
+
 def test_similar_to_holds_in_pieces_and_stores_no_whole_vector(spark, tmp_path, monkeypatch):
     u = _few_channels(spark, tmp_path)
     before = _stored(spark)

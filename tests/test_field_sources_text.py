@@ -68,6 +68,27 @@ def test_scores_need_no_row_for_each_voxel(spark, monkeypatch):
         assert (r.psnr_train, r.psnr_eval) == pytest.approx((-10 * np.log10(error(False)), -10 * np.log10(error(True))), abs=1e-9)
 
 
+def test_boxes_hold_only_pixels_of_the_mask():
+    rng = np.random.default_rng(2)
+    i, j = np.divmod(np.flatnonzero(rng.random(120) < 0.4), 12)
+    zs, par = np.sort(rng.random(15)), np.concatenate([rng.random((9, 3)), np.log(rng.uniform(0.05, 0.2, (9, 3))), rng.normal(size=(9, 4)), rng.normal(size=(9, 1))], 1)
+    tile = G._Tile(i, j, 1 / 11, 1 / 9, zs)
+    boxes = list(tile.boxes(par))
+    assert all(phi.ndim == 2 and len(phi) == len(g) for g, _, phi, _ in boxes) and sum(len(g) for g, *_ in boxes) <= 9 * len(i)
+    e = np.stack(np.broadcast_arrays((j / 11)[:, None], (i / 9)[:, None], zs[None, :]), -1).reshape(-1, 3)
+    v, fit, shapes = rng.random((len(i), 15)), 0.0, []
+    for p in par:
+        rot = G.rotations(p[None, 6:10])[0]
+        d = e - p[:3]
+        inside = (np.abs(d) <= G.TRUNC * np.sqrt((rot**2) @ np.exp(2 * p[3:6]))).all(axis=1)
+        shapes.append((d, inside * np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, rot @ np.diag(np.exp(-2 * p[3:6])) @ rot.T, d))))
+        fit = fit + np.exp(p[10]) * shapes[-1][1]
+    assert np.allclose(tile.fit(par).ravel(), fit, atol=1e-12)
+    for got, (d, phi) in zip(tile.moments(par, v), shapes):
+        w = (fit - v.ravel()) * phi
+        assert np.allclose(got, [w.sum(), *(w @ d), *(w @ d**2), w @ (d[:, 0] * d[:, 1]), w @ (d[:, 0] * d[:, 2]), w @ (d[:, 1] * d[:, 2])], atol=1e-12)
+
+
 def test_a_round_of_the_fit_shuffles_no_pixels(spark):
     vol = G.volume(blob_map(spark), channel_bin=2)
     seen = []

@@ -118,12 +118,18 @@ def detect_particles(pts: DataFrame) -> DataFrame:
     y = F.filter("y", lambda v: v.isNotNull())
     total = F.when(F.size(y) > 0, F.aggregate(y, F.lit(0.0), lambda s, v: s + v) / F.size(y))
     x = cut(pts.select("acq_id", "pt", total.alias("total"), spectral.band_contrast().alias("contrast")))  # two numbers a point
+    return split_particles(x)
+
+
+def split_particles(x: DataFrame) -> DataFrame:
+    """``detect_particles`` of (acq_id, pt, total, contrast) that is stored already; further columns stay."""
+    kept = [c for c in x.columns if c not in ("acq_id", "pt", "total", "contrast")]
     thr = otsu(x.where("total > 0").select("acq_id", F.log10("total").alias("v")))
     x = x.join(thr, "acq_id", "left").withColumn("dark", F.coalesce((F.col("total") > 0) & (F.log10(F.greatest("total", F.lit(1e-9))) < F.col("threshold")), F.lit(False)))
     mid = quantiles(x, ["acq_id", "dark"], F.col("contrast"), {"m": 0.5})
     side = x.select("acq_id").distinct().join(mid, "acq_id", "left").groupBy("acq_id").agg(F.max(F.when(F.col("dark"), F.col("m"))).alias("md"), F.max(F.when(~F.col("dark"), F.col("m"))).alias("mb"))
     x = x.join(side.select("acq_id", F.coalesce(F.col("mb") > F.col("md"), F.lit(False)).alias("turned")), "acq_id")
-    return x.select("acq_id", "pt", "total", "contrast", "threshold", "turned", (F.col("dark") != F.col("turned")).alias("particle"))
+    return x.select("acq_id", "pt", *kept, "total", "contrast", "threshold", "turned", (F.col("dark") != F.col("turned")).alias("particle"))
 
 
 def particle_summary(found: DataFrame) -> DataFrame:

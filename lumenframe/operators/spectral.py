@@ -28,6 +28,8 @@ def points(images: DataFrame) -> DataFrame:
     turned = lambda c: F.when(falls, F.reverse(c)).otherwise(F.col(c))
     x = ok.select("acq_id", "pt", "i", "j", turned("wavenumber").alias("w"), F.transform(turned("intensities"), finite).alias("y"))
     again = cut(held.groupBy("acq_id", "pt").agg(F.count("*").alias("c")).where("c > 1").select("acq_id", "pt"))
+    if not again.limit(1).count():
+        return x
     again = broadcast_if_small(again, 500_000)
     first = x.join(again, ["acq_id", "pt"], "left_semi").groupBy("acq_id", "pt").agg(F.min(F.struct("i", "j", "w", "y")).alias("r")).select("acq_id", "pt", "r.*")
     return x.join(again, ["acq_id", "pt"], "left_anti").unionByName(first)
@@ -98,14 +100,18 @@ def second_differences(y: str = "y") -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda k: F.get(c, k - 2) - 2 * F.get(c, k - 1) + F.get(c, k))).otherwise(F.array().cast("array<double>"))
 
 
+def spread(pts: DataFrame) -> DataFrame:
+    """(acq_id, sd): the median absolute second difference of each acquisition / 0.6745 (1 if zero)."""
+    sd = medians(pts.select("acq_id", F.explode(second_differences()).alias("d")), ["acq_id"], F.abs("d"), "sd").withColumn("sd", F.col("sd") / 0.6745)
+    return cut(sd.select("acq_id", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd")))
+
+
 def despike(pts: DataFrame, threshold: float = C.DESPIKE) -> DataFrame:
     """Replace readings whose second difference exceeds threshold x sigma by the mean of the original neighbours.
 
     Sigma is the acquisition's median absolute second difference / 0.6745 (1 if zero); the ends stay.
     """
-    spread = medians(pts.select("acq_id", F.explode(second_differences()).alias("d")), ["acq_id"], F.abs("d"), "sd").withColumn("sd", F.col("sd") / 0.6745)
-    spread = cut(spread.select("acq_id", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd")))
-    x = pts.join(broadcast_if_small(spread, 200_000), "acq_id", "left")  # one number an acquisition; a shuffle join beyond that
+    x = pts.join(broadcast_if_small(spread(pts), 200_000), "acq_id", "left")  # one number an acquisition; a shuffle join beyond that
     y = F.col("y")
 
     def fix(v: Column, k: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import classifying as K
+from ..operators import cleaning as B
 from ..operators import denoising as D
 from ..operators import field as G
 from ..operators import learning as L
@@ -167,13 +168,6 @@ def denoise_tests(spark, d):
     return D.benchmark(_cleanest(spark, d))[1]
 
 
-def _mask(p):
-    """The particle's cells of the maps where it covers between 3 and 97 %, all cells of the others."""
-    found = cut(M.detect_particles(p).join(p.select("acq_id", "pt", "i", "j"), ["acq_id", "pt"]).where("i IS NOT NULL AND j IS NOT NULL").select("acq_id", "i", "j", "particle"))
-    use = usable_masks(found, 0.03)
-    return found.join(use, "acq_id").where("particle OR NOT usable").select("acq_id", "i", "j")
-
-
 def usable_masks(found, edge: float):
     """(acq_id, share, usable): whether the marked share of each map lies strictly between ``edge`` and 1 - ``edge``."""
     s = found.groupBy("acq_id").agg(F.avg(F.col("particle").cast("double")).alias("share"))
@@ -193,7 +187,9 @@ def usable_mask_shares(spark, d):
 
 
 def _fitted(spark, d, history=None):
-    vol = G.volume(_cleaned(spark, d), mask=_mask(pts(spark, d)))
+    p = pts(spark, d)
+    mask, facts = B.mask_and_facts(*B.surveyed(p), 0.03)
+    vol = G.volume(B.binned_carbon(p, facts, 4), mask=mask)
     return G.fit(vol, G.seed_field(vol), history=history), vol
 
 
